@@ -26,13 +26,14 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr html body".split())
-FURNITURE = frozenset("nav footer aside form menu dialog search head button object canvas audio video figcaption label fieldset legend datalist output progress meter map".split()) | RAW
+FURNITURE = frozenset("nav footer aside form menu dialog search head button object canvas audio video label fieldset legend datalist output progress meter map".split()) | RAW
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 # Parts of class names and ids by which page furniture is known.
 FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr masthead menu menus modal nav navbar navigation navigational newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted recommendations recommended related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar trending widget widgets".split()
+    "ad ads adv alert alerts advert adverts advertisement advertising adbox adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer footer gdpr masthead menu menus modal nav navbar navigation navigational newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted recommendations recommended related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar trending widget widgets".split()
 )
-HEADER_NAMES = frozenset(["header", "head", "top"])
+HEADER_NAMES = frozenset(["header", "head", "topbar"])
+READER_NAMES = frozenset("comment comments commentlist disqus respond reply replies".split())
 CLOSED_BY = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
@@ -51,28 +52,66 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.drop, self.score, self.chars, self.links = False, 0.0, 0, 0
+        self.drop, self.score, self.chars, self.links = 0, 0.0, 0, 0
 
 
-def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
+HARD, SOFT = 2, 1
+
+
+def _furniture(tag: str, attrs: str, in_article: bool) -> int:
+    """HARD for page furniture by tag, role, being hidden or being readers' words; SOFT by the name of a class or id, which may mislead."""
     if tag in FURNITURE or tag == "header" and not in_article:
-        return True
+        return HARD
     if len(attrs) < 3:
-        return False
+        return 0
     marked = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
     if "hidden" in marked or marked.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", marked.get("style", "").lower()):
-        return True
+        return HARD
     if tag in KEPT:
-        return False
+        return 0
     if marked.get("role", "").lower() in FURNITURE_ROLES:
-        return True
+        return HARD
     names = {x.lower() for x in _PARTS.split(f"{marked.get('class', '')} {marked.get('id', '')}")}
-    return bool(names & FURNITURE_NAMES) or not in_article and bool(names & HEADER_NAMES)
+    if names & READER_NAMES:
+        return HARD
+    return SOFT if names & FURNITURE_NAMES or not in_article and names & HEADER_NAMES else 0
+
+
+def _reconsider(root: Node) -> None:
+    """A class name like "with-sidebar" can be that of the whole page: softly pruned parts that hold the article, or most of the
+    text, come back. One pass up the tree counts, one down decides."""
+    order = [root]
+    for node in order:
+        order.extend(x for x in node.children if not isinstance(x, str) and x.drop != HARD)
+    chars: dict[int, int] = {}
+    article: dict[int, bool] = {}
+    for node in reversed(order):
+        below = [x for x in node.children if not isinstance(x, str) and x.drop != HARD]
+        chars[id(node)] = sum(len(x.strip()) for x in node.children if isinstance(x, str)) + sum(chars[id(x)] for x in below)
+        article[id(node)] = node.tag in ("article", "main", "h1") or any(article[id(x)] for x in below)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.drop == SOFT and (article[id(node)] or chars[id(node)] > 200 and chars[id(node)] > 0.5 * chars[id(root)]):
+            node.drop = 0
+        if not node.drop:
+            stack.extend(x for x in node.children if not isinstance(x, str) and x.drop != HARD)
+
+
+def _kept_tags(root: Node) -> set[str]:
+    found, stack = set(), [root]
+    while stack:
+        for x in stack.pop().children:
+            if not isinstance(x, str) and not x.drop:
+                found.add(x.tag)
+                stack.append(x)
+    return found
 
 
 def parse(html: str) -> Node:
     root = Node("html", None)
     at, pos, articles = root, 0, 0
+    soft = False
     for m in iter(lambda: _TOKEN.search(html, pos), None):
         if m.start() > pos:
             at.children.append(unescape(html[pos : m.start()]))
@@ -116,7 +155,8 @@ def parse(html: str) -> Node:
             if last is not None:
                 at = last.parent
         node = Node(tag, at)
-        node.drop = _is_furniture(tag, m["attrs"], articles > 0)
+        node.drop = _furniture(tag, m["attrs"], articles > 0)
+        soft |= node.drop == SOFT
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
@@ -126,6 +166,8 @@ def parse(html: str) -> Node:
             articles += tag in ("article", "main")
     if pos < len(html):
         at.children.append(unescape(html[pos:]))
+    if soft and not _kept_tags(root) & {"article", "main"}:
+        _reconsider(root)
     return root
 
 
@@ -188,23 +230,31 @@ def main_text(html: str | None) -> str:
     blocks = _blocks(root, True) or _blocks(root, False)
     if not blocks:
         return ""
-    scored: list[Node] = []
+    order = [root]
+    for node in order:
+        order.extend(x for x in node.children if not isinstance(x, str))
     for node, text, links in blocks:
-        line = _ancestors(node)
-        for a in line:
-            a.chars += len(text)
-            a.links += links
+        node.chars += len(text)
+        node.links += links
+    for node in reversed(order[1:]):
+        node.parent.chars += node.chars
+        node.parent.links += node.links
+    scored: list[Node] = []
+    for node, text, _ in blocks:
         if len(text) < 25 or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             continue
         points = 1 + text.count(",") + min(len(text) / 100, 3.0)
-        holders = line[1:] if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") and len(line) > 1 else line
-        for depth, a in enumerate(holders[:6]):
+        a = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") and node.parent is not None else node
+        for share in (1, 2, 6, 9, 12, 15):
             if not a.score:
                 scored.append(a)
                 a.score = 25.0 if a.tag in ("article", "main") else 5.0 if a.tag in ("div", "section") else 0.01
-            a.score += points / (1, 2, 6, 9, 12, 15)[depth]
+            a.score += points / share
+            a = a.parent
+            if a is None:
+                break
     if not scored:
-        best = max((a for node, _, _ in blocks for a in _ancestors(node)), key=lambda a: (a.tag in ("article", "main"), a.tag == "html", a.chars))
+        best = max((a for a in order if a.chars), key=lambda a: (a.tag in ("article", "main"), a.tag == "html", a.chars))
     else:
         best = max(scored, key=lambda a: a.score * (1 - a.links / max(1, a.chars)))
     around = [a for a in _ancestors(best) if a.tag in ("article", "main")]
@@ -218,14 +268,11 @@ def main_text(html: str | None) -> str:
             density = x.links / max(1, x.chars)
             if x.score and x.score * (1 - density) >= max(10, 0.2 * top) or x.tag == "p" and (x.chars > 80 and density < 0.25 or 0 < x.chars and not x.links) or x.tag == "h1":
                 kept.add(id(x))
-    out = []
-    for node, text, _ in blocks:
-        for a in _ancestors(node):
-            if id(a) in kept:
-                out.append(text)
-                break
-            if _is_menu(a):
-                break
+    inside: set[int] = set()
+    for node in order:
+        if id(node) in kept or node.parent is not None and id(node.parent) in inside and not _is_menu(node):
+            inside.add(id(node))
+    out = [text for node, text, _ in blocks if id(node) in inside]
     return "\n".join(out)
 
 

@@ -54,6 +54,8 @@ WANTED = "First paragraph, with <some> text, long enough to count, and commas, r
         (f"<div class=main-content>{ARTICLE}<div class='ad'>Buy, buy, now, this is an advert, with commas.</div><form><p>Name, address, and so on, fill it in please.</p></form></div>", WANTED),
         (f"<article>{ARTICLE}<section id='comments'><p>I say, as a reader, that this, well, is long enough, too.</p></section></article>", WANTED),
         (f"<article>{ARTICLE}<div class='cookie-notice'>We use cookies, as everyone, does, so agree.</div></article>", WANTED),
+        (f"<body class='has-sidebar'><div class='layout with-sidebar'><h1>Head</h1><div>{ARTICLE}</div><div class='widget'>w, w</div></div></body>", "Head\n" + WANTED),
+        (f"<div role=main>{ARTICLE}<figure><img src=x><figcaption>A caption</figcaption></figure></div><div class='alert'>Down, soon.</div>", WANTED + "\nA caption"),
         ("<article><h1>Title &eacute;</h1><p><b>One<br><p>Two</p><p>Three", "Title é\nOne\nTwo\nThree"),
         (f"<body><div><div><div>{ARTICLE}</div></div></div><ul><li><a href=a>one</a></li><li><a href=b>two</a></li></ul></body>", WANTED),
         ("<!-- <p>no</p> --><p>yes &#8364; &#x41;</p>", "yes € A"),
