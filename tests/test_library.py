@@ -6,10 +6,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import ddl
 from quarry.functions import parsers as P
 from quarry.functions import text as T
 from quarry.operators import datasets, profile, results, retrieval, schema_ops, values, vectors
-from quarry.plans import dialect, lineage, providers, sqlrun, workflow
+from quarry.plans import dialect, lineage, providers, sqlrun, team, workflow
 from quarry.sources import files
 from quarry.sources.catalog import Catalog
 from quarry.streaming import tables as streams
@@ -323,3 +324,40 @@ def test_streams(spark, sf_dir, tmp_path):
 def test_ddl(catalog):
     assert "PRIMARY KEY (`n_nationkey`)" in catalog.ddl("nation") and "FOREIGN KEY (`n_regionkey`) REFERENCES `region` (`r_regionkey`)" in catalog.ddl("nation")
     assert catalog.schema_map()["region"] == ["r_regionkey", "r_name"] and datetime
+
+
+def test_parse_table():
+    text = """CREATE TABLE IF NOT EXISTS `a b` ( -- note, with comma
+      id INTEGER PRIMARY KEY, "full, name" VARCHAR(10, 2) DEFAULT 'x,y' UNIQUE, other DECIMAL(10,2) REFERENCES t2 (k),
+      CONSTRAINT c1 FOREIGN KEY (other, id) REFERENCES t3(x, y), UNIQUE (id, other), CHECK (id > 0))"""
+    got = ddl.parse_table(text)
+    assert got.name == "a b" and [c for c, _ in got.columns] == ["id", "full, name", "other"] and got.columns[2][1] == "DECIMAL(10,2)"
+    assert got.primary == ["id"] and got.unique == [["full, name"], ["id", "other"]]
+    assert got.foreign == [("other", "t2", "k"), ("other", "t3", "x"), ("id", "t3", "y")]
+    with pytest.raises(ValueError):
+        ddl.parse_table("SELECT 1")
+
+
+def test_generated_ddl_parses_back(catalog):
+    got = ddl.parse_table(catalog.ddl("nation"))
+    assert got.primary == ["n_nationkey"] and got.foreign == [("n_regionkey", "region", "r_regionkey")] and [c for c, _ in got.columns] == catalog.schema_map()["nation"]
+
+
+def test_team(spark, catalog, tmp_path):
+    (tmp_path / "config.json").write_text(json.dumps({"team_agents": {"retriever": {"tools": {"extract_keywords": None}}, "selector": {"tools": {"select_tables": {"mode": "oracle"}, "select_columns": {"mode": "oracle"}}, "choose": True}}}))
+    replies = iter(["use select_tables", "select_columns please", "DONE"])
+
+    class Replies:
+        def complete(self, prompt, temperature=0.0):
+            return next(replies)
+
+    stages = team.build(team.read_config(str(tmp_path / "config.json")), providers.Engine("r", Replies()))
+    fix = team.ModelCheck(lambda task, sql: None if "BUILDING" in sql else "no filter", lambda task, sql, reason: sql + " WHERE c_mktsegment = 'BUILDING'")
+    stages += [workflow.GenerateCandidate(propose=lambda t: ["SELECT COUNT(*) FROM customer"]), fix]
+    evaluated, states = workflow.run_tasks(workflow.Engineered(catalog), GOLD[:1], stages)
+    assert not states[0].errors and [h["tool_name"] for h in states[0].history] == ["extract_keywords", "select_tables", "select_columns", "generate_candidate", "model_check"]
+    assert {r["stage"]: r["exec_res"] for r in evaluated.collect()} == {"generate_candidate": 0, "model_check_1": 1, "final_SQL": 1}
+    with pytest.raises(ValueError):
+        team.build({"team_agents": {"a": {"tools": {"nothing": None}}}})
+    (tmp_path / "template_revise.txt").write_text("Fix {SQL}")
+    assert team.load_prompts(str(tmp_path)) == {"revise": "Fix {SQL}"}
