@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.bounds import blocks_joined
 from quarry.operators.values import jaccard_top
 from quarry.operators.vectors import nearest_columns
 
@@ -29,9 +30,9 @@ def potential_names(keywords: DataFrame) -> DataFrame:
 def keyword_columns(keywords: DataFrame, columns: DataFrame, least: float = NAME_LEAST) -> DataFrame:
     """keyword, name, table, column, similarity of names that match column names, in their normal forms.
 
-    Names are few and columns are metadata, so both sides are small by nature.
+    Names are few and columns are metadata; their number is checked before they are sent around.
     """
-    pairs = potential_names(keywords).join(F.broadcast(columns.select("table", "column")))
+    pairs = blocks_joined(potential_names(keywords), columns.select("table", "column"))
     scored = pairs.withColumn("similarity", T.ratio(T.normalized_name(F.col("name")), T.normalized_name(F.col("column"))))
     return scored.where(F.col("similarity") >= least).select("keyword", "name", "table", "column", F.round("similarity", 6).alias("similarity"))
 

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.bounds import blocks_joined
 
 
 def top_by_dot(vectors: DataFrame, queries: DataFrame, k: int = 5, within: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: the k largest inner products with each of a bounded set of query vectors.
 
-    ``queries`` is a stated, small set (a question's keywords, a handful of probes): it is joined to every block of the
-    vectors; pre-ranking per partition keeps k rows a query there. ``within``: rank inside the groups of this column.
+    ``queries`` is a stated set (a question's keywords, a handful of probes): a small one goes to every partition of the
+    vectors, a larger one in blocks; pre-ranking per partition keeps k rows a query there. ``within``: rank inside the groups of this column.
     """
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(T.dot(F.col("embedding"), F.col("_q")), 6))
+    pairs = blocks_joined(vectors, asked, F.col("vec_id") != F.col("query_id")).withColumn("score", F.round(T.dot(F.col("embedding"), F.col("_q")), 6))
     group = ["query_id", *([within] if within else [])]
     order = Window.partitionBy(*group).orderBy(F.col("score").desc(), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*group, "vec_id", "score", "rank")
@@ -39,7 +40,7 @@ def nearest_columns(documents: DataFrame, queries: DataFrame, k: int = 5) -> Dat
     ``documents``: embedded catalog documents; ``queries``: query, embedding. Both are metadata, not data.
     """
     asked = queries.select("query", F.col("embedding").alias("_q"))
-    near = documents.join(F.broadcast(asked)).withColumn("distance", T.squared_distance(F.col("embedding"), F.col("_q")))
+    near = blocks_joined(documents, asked).withColumn("distance", T.squared_distance(F.col("embedding"), F.col("_q")))
     order = Window.partitionBy("query").orderBy("distance", "table", "column", "field")
     top = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
     kept = ("column_name", "column_description", "value_description")

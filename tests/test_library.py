@@ -361,3 +361,13 @@ def test_team(spark, catalog, tmp_path):
         team.build({"team_agents": {"a": {"tools": {"nothing": None}}}})
     (tmp_path / "template_revise.txt").write_text("Fix {SQL}")
     assert team.load_prompts(str(tmp_path)) == {"revise": "Fix {SQL}"}
+
+
+def test_block_joins_find_the_same(spark, monkeypatch):
+    from quarry.operators import bounds
+
+    left, right = spark.range(40).withColumnRenamed("id", "a"), spark.range(30).withColumnRenamed("id", "b")
+    want = sorted(map(tuple, bounds.blocks_joined(left, right, F.col("a") > F.col("b")).collect()))
+    monkeypatch.setattr(bounds, "MOST_SMALL", 5)
+    assert sorted(map(tuple, bounds.blocks_joined(left, right, F.col("a") > F.col("b"), blocks=4).collect())) == want
+    assert bounds.blocks_joined(left, right).count() == 1200
