@@ -39,6 +39,8 @@ SHARD_BYTES = 16_000_000
 BATCH = 1000
 HOT = 20_000
 _SLICE = 1 << 17
+#: Columns that documents get on their way, by names that no table has.
+KEY, RAW, BLOCK = "__quarry_key", "__quarry_raw", "__quarry_block"
 _KEY = ~np.uint64(3)  # the low bits of an anchor's hash carry flags
 
 
@@ -84,63 +86,76 @@ def collection_index(strings: list[bytes]) -> tuple[np.ndarray, ...]:
 
     Round j inserts the suffixes of length j. Where a suffix goes follows from the transform of the shorter ones; its common
     prefixes are one more than the least between the places of its own tail and its neighbours' tails. Symbols are bytes
-    plus 1; 0 ends a string, ends are ordered by string. An entry is packed in a word: symbol, prefix, offset, string.
+    plus 1; 0 ends a string, ends are ordered by string. Rounds carry two small arrays, the transform and the prefixes; whose
+    suffix stands where is read off the finished transform, from each string's end to its start.
     """
     count = len(strings)
     size = np.array([len(s) for s in strings], np.int64)
     longest = int(size.max(initial=0))
-    if count > 1 << 16 or longest >= 1 << 16:
-        raise ValueError("a collection holds at most 65536 strings of under 65536 bytes")
-    symbols = np.zeros((count, longest + 1), np.uint64)  # column j: the symbol j places from the end
+    codes = np.unique(np.frombuffer(b"".join(strings), np.uint8))  # in order, so codes sort as bytes do
+    kind = np.uint8 if len(codes) < 255 and longest < 255 else np.uint16
+    if longest >= 1 << 16:
+        raise ValueError("strings of a collection are shorter than 65536 bytes")
+    code = np.zeros(256, kind)
+    code[codes] = np.arange(1, len(codes) + 1)
+    symbols = np.zeros((longest + 1, count), kind)  # row j: the symbol j places from the end
     for i, s in enumerate(strings):
-        symbols[i, : len(s)] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint64) + 1
-    word = lambda sym, prefix, offset, who: sym | prefix << np.uint64(16) | offset << np.uint64(32) | who << np.uint64(48)
-    who = np.arange(count, dtype=np.uint64)
-    x = word(symbols[:, 0], np.zeros(count, np.uint64), size.astype(np.uint64), who)
+        symbols[: len(s), i] = code[np.frombuffer(s, np.uint8)[::-1]]
+    own, prefix = symbols[0].copy(), np.zeros(count, kind)
+    numbers = np.arange(int(size.sum()) + count, dtype=np.int32)
     at = np.arange(count)
     for j in range(1, longest + 1):
         active = np.flatnonzero(size >= j)
-        p = at[active]
-        own = (x & np.uint64(0xFFFF)).astype(np.uint16)
+        p, n = at[active], len(own)
         order = np.argsort(own, kind="stable")
-        rank = np.empty(len(x), np.int64)
-        rank[order] = np.arange(len(x))
-        r = rank[p]
-        new = count + r - np.count_nonzero(own == 0)
-        before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(x) - 1)]
-        has_before = (r > 0) & (own[before] == own[p])
-        has_after = (r + 1 < len(x)) & (own[after] == own[p])
-        prefix = np.zeros(len(p), np.uint64)
-        prefix[has_before] = _least(x, before[has_before] + 1, p[has_before] + 1) + np.uint64(1)
-        following = _least(x, p[has_after] + 1, after[has_after] + 1) + np.uint64(1)
-        entries = word(symbols[active, j], prefix, (size[active] - j).astype(np.uint64), who[active])
-        mask = np.zeros(len(x) + len(p), bool)
-        mask[new] = True
-        merged = np.empty(len(mask), np.uint64)
-        merged[~mask] = x
-        merged[new] = entries
-        to = new[has_after] + 1
-        merged[to] = merged[to] & ~np.uint64(0xFFFF0000) | following << np.uint64(16)
-        x = merged
+        rank = np.empty(n, np.int32)
+        rank[order] = numbers[:n]
+        r = rank[p].astype(np.int64)
+        new = r + (count - np.count_nonzero(own == 0))
+        before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
+        mine = own[p]
+        has_before = (r > 0) & (own[before] == mine)
+        has_after = (r + 1 < n) & (own[after] == mine)
+        common = np.zeros(len(p), kind)
+        common[has_before] = _least(prefix, before[has_before] + 1, p[has_before] + 1) + kind(1)
+        following = _least(prefix, p[has_after] + 1, after[has_after] + 1) + kind(1)
+        old = np.ones(n + len(p), bool)
+        old[new] = False
+        merged_own, merged_prefix = np.empty(len(old), kind), np.empty(len(old), kind)
+        merged_own[old], merged_prefix[old] = own, prefix
+        merged_own[new], merged_prefix[new] = symbols[j, active], common
+        merged_prefix[new[has_after] + 1] = following
+        own, prefix = merged_own, merged_prefix
         at[active] = new
-    return (x >> np.uint64(48)).astype(np.int64), (x >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64), (x >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64), (x & np.uint64(0xFFFF)).astype(np.int64)
+    order = np.argsort(own, kind="stable")
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    rank += count - np.count_nonzero(own == 0)  # where the suffix one symbol longer stands
+    who, offset = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    at = np.arange(count)
+    for j in range(longest + 1):
+        active = np.flatnonzero(size >= j)
+        at[active] = rank[at[active]] if j else at[active]
+        who[at[active]], offset[at[active]] = active, size[active] - j
+    back = np.r_[0, codes.astype(np.int64) + 1]
+    return who, offset, prefix.astype(np.int64), back[own]
 
 
-def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _least(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The least common prefix of entries start to end (not empty) of each range."""
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, prefix.dtype)
     width = end - start
     heads = width.cumsum() - width
     at = np.repeat(start - heads, width) + np.arange(width.sum())
-    return np.minimum.reduceat(x[at] >> np.uint64(16) & np.uint64(0xFFFF), heads)
+    return np.minimum.reduceat(prefix[at], heads)
 
 
 class _Block:
     """The documents of a block in order, and their runs of windows."""
 
     def __init__(self, table: pa.Table):
-        keys, texts = table.column("doc_key").to_pylist(), [t or b"" for t in table.column("raw").to_pylist()]
+        keys, texts = table.column(KEY).to_pylist(), [t or b"" for t in table.column(RAW).to_pylist()]
         self.order = sorted(range(len(keys)), key=lambda i: (keys[i], texts[i]))
         self.texts = [texts[i] for i in self.order]
         key = np.array([keys[i] for i in self.order], np.int64)
@@ -190,7 +205,7 @@ class _Block:
 
 def _docs_table(documents: DataFrame, blocks: int) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
-    return documents.withColumn("doc_key", key).withColumn("raw", F.col("text").cast("binary")).withColumn("block", F.pmod(F.xxhash64("doc_key"), F.lit(blocks)).cast("int"))
+    return documents.withColumn(KEY, key).withColumn(RAW, F.col("text").cast("binary")).withColumn(BLOCK, F.pmod(F.xxhash64(KEY), F.lit(blocks)).cast("int"))
 
 
 def _numbers(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
@@ -207,7 +222,7 @@ def _survey(shards: int):
         found, heads = np.unique(shard[order], return_index=True)
         parts = np.split(packed[order], heads[1:])
         counts = np.split(np.minimum(n[order], 2**31 - 1).astype(np.int32), heads[1:])
-        block = table.column("block")[0].as_py()
+        block = table.column(BLOCK)[0].as_py()
         return pa.table({"shard": pa.array(found.astype(np.int32)), "block": pa.array([block] * len(found), pa.int32()), "keys": pa.array([p.tobytes() for p in parts][: len(found)], pa.binary()), "counts": pa.array([c.tobytes() for c in counts][: len(found)], pa.binary())})
 
     return run
@@ -257,7 +272,7 @@ def _send(shards: int):
                 i = at[to == s]
                 r = run_[i]
                 out["shard"].append(int(s))
-                out["block"].append(docs.column("block")[0].as_py())
+                out["block"].append(docs.column(BLOCK)[0].as_py())
                 key = block.value[r] & _KEY
                 out["value"].append((key | np.isin(key, hot) * np.uint64(2)).tobytes())
                 out["size"].append((last[i] - first[i] + SPAN).astype(np.uint8).tobytes())
@@ -415,9 +430,9 @@ def _cut(shards: int, columns: list[str], schema: pa.Schema):
 
 
 def _answers(docs: DataFrame, shards: int, hot: int) -> DataFrame:
-    survey = docs.groupBy("block").applyInArrow(_survey(shards), "shard int, block int, keys binary, counts binary")
+    survey = docs.groupBy(BLOCK).applyInArrow(_survey(shards), "shard int, block int, keys binary, counts binary")
     told = survey.groupBy("shard").applyInArrow(_repeated(hot), "block int, keys binary")
-    sent = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_send(shards), STRETCHES)
+    sent = docs.groupBy(BLOCK).cogroup(told.groupBy("block")).applyInArrow(_send(shards), STRETCHES)
     return sent.groupBy("shard").applyInArrow(_judge, "block int, shard int, value binary, masks binary")
 
 
@@ -432,7 +447,7 @@ def repeats(documents: DataFrame, hot: int = HOT, block_bytes: int = BLOCK_BYTES
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte offsets) of every row."""
     docs, answers, shards = _plan(documents.select("doc_id", "text"), hot, block_bytes, shard_bytes)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>"
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_report(shards), out)
+    return docs.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(_report(shards), out)
 
 
 def remove_repeats(documents: DataFrame, hot: int = HOT, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -440,4 +455,4 @@ def remove_repeats(documents: DataFrame, hot: int = HOT, block_bytes: int = BLOC
     from pyspark.sql.pandas.types import to_arrow_schema
 
     docs, answers, shards = _plan(documents, hot, block_bytes, shard_bytes)
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_cut(shards, documents.columns, to_arrow_schema(documents.schema)), documents.schema)
+    return docs.groupBy(BLOCK).cogroup(answers.groupBy("block")).applyInArrow(_cut(shards, documents.columns, to_arrow_schema(documents.schema)), documents.schema)
