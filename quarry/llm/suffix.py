@@ -5,7 +5,7 @@ A byte goes if a ``SPAN``-byte string that covers it also starts earlier in the
 1. Every window of SPAN bytes is assigned to the leftmost of its ANCHOR-byte strings with the least hash, so equal windows get
    equal anchors at equal distances. Blocks of documents send each anchor hash once; hashes that occur once end there.
 2. Blocks send the stretches of bytes whose windows share a repeated anchor, each distinct stretch once, with its first place.
-   Equal stretches of all blocks are merged, and all that share an anchor are indexed together: one symbol of each is
+   Equal stretches of all blocks are merged, and the different ones of an anchor are indexed together: one symbol of each is
    inserted per round, from the last to the first, into the collection's Burrows-Wheeler transform, and the common prefixes
    are updated with it. Runs of common prefixes of SPAN or more are the equal windows; the earliest stays.
 3. Blocks get one bit per window back and cut their documents.
@@ -292,6 +292,9 @@ def _first_windows(contents: list[bytes], groups: np.ndarray, doc_key: np.ndarra
     order = np.argsort(groups, kind="stable")
     heads = np.flatnonzero(np.r_[True, groups[order][1:] != groups[order][:-1]]) if len(order) else np.zeros(0, np.int64)
     widths = np.diff(np.r_[heads, len(order)])
+    # A collection of one string needs no rounds: windows of a stretch stand at different distances from its anchor, so no two
+    # are equal, and what equals the stretch throughout was merged with it.
+    masks[order[np.repeat(widths == 1, widths)]] = ~np.uint64(0)
     batch: list[np.ndarray] = []
     held = 0
 
@@ -311,7 +314,7 @@ def _first_windows(contents: list[bytes], groups: np.ndarray, doc_key: np.ndarra
         batch.clear()
         held = 0
 
-    for h, n in zip(heads, widths, strict=True):
+    for h, n in zip(heads[widths > 1], widths[widths > 1], strict=True):
         if held and held + n > BATCH:
             settle()
         batch.append(order[h : h + n])
