@@ -40,7 +40,7 @@ BATCH = 1000
 HOT = 20_000
 _SLICE = 1 << 17
 #: Columns that documents get on their way, by names that no table has.
-KEY, RAW, BLOCK = "__quarry_key", "__quarry_raw", "__quarry_block"
+KEY, BLOCK = "__quarry_key", "__quarry_block"
 _KEY = ~np.uint64(3)  # the low bits of an anchor's hash carry flags
 
 
@@ -151,11 +151,16 @@ def _least(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return np.minimum.reduceat(prefix[at], heads)
 
 
+def _ends(anchor: int, window: bytes) -> int:
+    """A hash of a hot anchor's window by both ends: by it such windows are dealt out, and compared only with their like."""
+    return int.from_bytes(hashlib.blake2b(window[:8] + window[-8:] + (anchor & ~3).to_bytes(8, "big"), digest_size=8).digest(), "big")
+
+
 class _Block:
     """The documents of a block in order, and their runs of windows."""
 
     def __init__(self, table: pa.Table):
-        keys, texts = table.column(KEY).to_pylist(), [t or b"" for t in table.column(RAW).to_pylist()]
+        keys, texts = table.column(KEY).to_pylist(), [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
         self.order = sorted(range(len(keys)), key=lambda i: (keys[i], texts[i]))
         self.texts = [texts[i] for i in self.order]
         key = np.array([keys[i] for i in self.order], np.int64)
@@ -199,13 +204,13 @@ class _Block:
         shard = key[run].copy()
         for i in np.flatnonzero(hot_run & new):
             a = int(first[i])
-            shard[i] = int.from_bytes(hashlib.blake2b(raw[a : a + 8] + raw[a + SPAN - 8 : a + SPAN] + int(key[run[i]]).to_bytes(8, "big"), digest_size=8).digest(), "big")
+            shard[i] = _ends(int(key[run[i]]), raw[a : a + SPAN])
         return first, last, which, new, shard, run
 
 
 def _docs_table(documents: DataFrame, blocks: int) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
-    return documents.withColumn(KEY, key).withColumn(RAW, F.col("text").cast("binary")).withColumn(BLOCK, F.pmod(F.xxhash64(KEY), F.lit(blocks)).cast("int"))
+    return documents.withColumn(KEY, key).withColumn(BLOCK, F.pmod(F.xxhash64(KEY), F.lit(blocks)).cast("int"))
 
 
 def _numbers(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
@@ -341,7 +346,7 @@ def _judge(table: pa.Table) -> pa.Table:
             if got is None:
                 got = contents[(x, d, content)] = len(distinct)
                 distinct.append(content)
-                values.append(x)
+                values.append(_ends(x, content) if x & 2 else x)
             at[i] = got
         which.append(at)
     flat, key, place = np.concatenate(which), np.concatenate(keys), np.concatenate(places)

@@ -379,6 +379,8 @@ def test_repeats_edge_cases(spark):
     rows = corpus(3, 20)
     docs = documents(spark, rows)
     assert suffix.repeats(docs).count() == len(rows) and suffix.repeats(docs.limit(0)).count() == 0
+    cut = suffix.remove_repeats(docs.withColumn("block", F.lit("own")).withColumn("raw", F.lit(1)))
+    assert {(x["block"], x["raw"]) for x in cut.collect()} == {("own", 1)}
     cut = suffix.remove_repeats(docs)
     assert cut.columns == docs.columns and cut.schema == docs.schema and cut.count() == len(rows)
     for x in cut.collect():
