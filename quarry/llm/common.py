@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import os
 import tempfile
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 #: A key counts as hot from this share of all rows; so at most HOT_SHARE keys are hot, which bounds what is broadcast.
 HOT_SHARE = 256
 
-WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Rows that a batch function gets at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,30 +79,26 @@ def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, weight:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch, given at most BATCH_ROWS rows at a time so that what it makes stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = fn(batch)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                made = fn(batch.slice(start, BATCH_ROWS))
                 if made is not None:
                     yield made
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and their executor counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(texts: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as bytes, null as empty."""
     return [x or b"" for x in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]
-
-
-def slices(rows: list, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive rows of about ``most`` bytes, so that arrays over them stay small."""
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(rows):
-        yield start, len(rows)

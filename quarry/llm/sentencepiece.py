@@ -31,7 +31,7 @@ SPACE = "▁"
 # Fixed values of the model format: piece types, and how far below the least score an unknown character counts.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-CACHE = 200_000
+CACHE = 150_000
 
 
 def _fields(data: bytes):

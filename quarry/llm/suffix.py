@@ -29,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import release
 from quarry.llm.sketch import rolling
 
 SPAN = 100
 ANCHOR = 37
 REACH = SPAN - ANCHOR + 1  # strings of a window that can be its anchor: 64, so that a stretch's windows fit a word
-BLOCK_BYTES = 8_000_000
-SHARD_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
+SHARD_BYTES = 8_000_000
 BATCH = 1000
 HOT = 20_000
 _SLICE = 1 << 17
@@ -267,6 +268,7 @@ def _send(shards: int):
         """The distinct stretches of a block's repeated anchors, with their first places."""
         names = [c.split()[0] for c in STRETCHES.split(", ")]
         out: dict[str, list] = {n: [] for n in names}
+        release()
         if docs.num_rows and told.num_rows:
             block = _Block(docs)
             repeated, hot = _told(told)
@@ -330,6 +332,7 @@ def _first_windows(contents: list[bytes], groups: np.ndarray, doc_key: np.ndarra
 
 def _judge(table: pa.Table) -> pa.Table:
     """Masks for the stretches that blocks sent, in their order."""
+    release()
     contents: dict[tuple[int, int, bytes], int] = {}
     distinct: list[bytes] = []
     values: list[int] = []
@@ -395,6 +398,7 @@ def _spans(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _report(shards: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         rows = []
+        release()
         if docs.num_rows:
             block = _Block(docs)
             gone = _removed(block, answers, shards)
@@ -425,6 +429,7 @@ def _cut(shards: int, columns: list[str], schema: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
+        release()
         block = _Block(docs)
         gone = _removed(block, answers, shards)
         texts = [whole_characters(t, gone[a:b]) for t, a, b in zip(block.texts, block.starts, block.ends, strict=True)]
