@@ -117,11 +117,11 @@ def split_counts(counts: np.ndarray, shards: int, shard: int, seed: int) -> tupl
     return first, held
 
 
-def mix(documents: DataFrame, seed: int = 42, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix(documents: DataFrame, seed: int = 42, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, planned: DataFrame | None = None) -> DataFrame:
     """The mix: the documents' rows, each as often as the plan takes it, with shard and position (the order in the shard)."""
-    planned = materialize(plan(documents, seed, block_words), "plan")
+    planned = materialize(plan(documents, seed, block_words), "plan") if planned is None else planned
     spark = documents.sparkSession
-    copies = planned.where("passes > 0 and size > 0").select("doc_id", "text_hash", "idx", "block", "size", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("turn"))
+    copies = planned.where("passes > 0 and size > 0").select("doc_id", "text_hash", "source", "idx", "block", "size", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("turn"))
     stratum = F.col("idx") % MAX_STRATA
     units = copies.groupBy(stratum.alias("stratum"), "idx", "block", "turn").agg(F.sum("size").alias("words"))
     order = Window.partitionBy("stratum").orderBy("turn", _hash("idx", "block", "turn", seed + 2), "idx", "block")
@@ -145,12 +145,26 @@ def mix(documents: DataFrame, seed: int = 42, shard_words: int = SHARD_WORDS, bl
     place = quotas.select(F.col("s").alias("stratum"), "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("place"))
     dealt = units.join(place, ["stratum", "place"]).select(F.col("idx").alias("_idx"), F.col("block").alias("_block"), F.col("turn").alias("_turn"), "shard")
     drawn = copies.join(dealt, (F.col("idx") == F.col("_idx")) & (F.col("block") == F.col("_block")) & (F.col("turn") == F.col("_turn")))
-    where_to = drawn.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "shard", _hash("text_hash", "turn", seed + 3).alias("position")).distinct()
+    where_to = drawn.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("source").alias("_source"), "shard", _hash("text_hash", "turn", seed + 3).alias("position")).distinct()
     source = documents.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    out = source.join(where_to, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.col("_h") == F.col("_text_hash")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))  # rows of two sources may agree in all else
+    out = source.join(where_to, same & (F.col("_h") == F.col("_text_hash")))
     return out.select(*[F.col(c) for c in documents.columns if c not in ("shard", "position")], "shard", "position")
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """The mix with each shard's rows together in their shuffled order."""
     return mixed.repartition("shard").sortWithinPartitions("shard", "position")
+
+
+def taken(documents: DataFrame, seed: int = 42, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, passes of every row: ``taken`` counts the words that lie in the dealt and shuffled shards."""
+    planned = materialize(plan(documents, seed, block_words), "plan")
+    dealt = sizes(shuffled(mix(documents, seed, shard_words, block_words, planned)))
+    words = dealt.groupBy("doc_id", "source", "text_hash").agg(F.sum("size").alias("words"))
+    alike = planned.where("passes > 0 and size > 0").groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("rows"))
+    counted = alike.withColumnsRenamed({"doc_id": "_d", "source": "_s", "text_hash": "_t"})
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("text_hash") == F.col("_t"))
+    each = materialize(words.join(counted, same, "full").select(F.coalesce("doc_id", "_d").alias("_d"), F.coalesce("source", "_s").alias("_s"), F.coalesce("text_hash", "_t").alias("_t"), F.expr("words div greatest(rows, 1)").alias("taken")), "each")
+    out = planned.join(each, same, "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "passes")
