@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 24
+WIDTH = 8
 #: One hash in so many is kept.
-SCALE = 32
+SCALE = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SLICE = 1 << 18
