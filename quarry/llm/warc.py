@@ -4,9 +4,10 @@ Writing makes one record per page, each a gzip member of its own, and puts bound
 shared folder through Spark's text sink (one row a file; the sink ends a file with one line feed, which gzip readers ignore).
 Pages whose payload was seen before, under a smaller page_id, become revisit records without payload.
 
-Reading never trusts lengths. A member must inflate, pass its checksum and hold a record whose header block, declared length and
-payload digest agree. After a failed check the reader searches for the next member magic or, in plain archives, the next
-version line that starts a valid record, goes on there, and logs the bytes between as a quarantined gap.
+Reading never trusts lengths. A record's header block and length must hold, and its digests and HTTP length where it states them.
+After a failed check the reader searches for the next member magic or version line that starts a valid record, in a member's
+inflated data too, goes on there, and logs the bytes between (of a member: its range) as a quarantined gap. A member that breaks
+off gives the records of its readable prefix; one whose stream or checksum fails gives those that a digest proves.
 
 Defined cases: null html is an empty payload; a null url is left out of the record; pages with a null page_id are written, and
 named by others only if no page with an id has the payload; rows that repeat a page_id are
@@ -69,8 +70,35 @@ class Record:
     payload: bytes
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[Record, int] | None:
-    """The record at an offset and the offset after it; None if anything in it does not hold."""
+def _agrees(stated: str | None, data: bytes) -> bool | None:
+    """Whether data has the digest stated (base32 or hex); None if none is stated or its algorithm is not known."""
+    name, _, value = (stated or "").strip().partition(":")
+    kind = name.lower().replace("-", "")
+    if not value or kind not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None
+    made = hashlib.new(kind, data).digest()
+    return value.lower() == made.hex() or value.upper().rstrip("=") == base64.b32encode(made).decode().rstrip("=")
+
+
+def _dechunked(body: bytes) -> bytes | None:
+    """The content of a chunked HTTP body; None if its chunks do not hold."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return None
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        if body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return None
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+
+
+def parse_record(data: bytes, at: int = 0, proven: bool = False) -> tuple[Record, int] | None:
+    """The record at an offset and the offset after it; None if anything it states does not hold. ``proven``: only with a digest of its block or payload."""
     m = VERSION.match(data, at)
     if not m:
         return None
@@ -78,22 +106,38 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Record, int] | None:
     if end < 0:
         return None
     try:
-        fields = dict(line.split(": ", 1) for line in data[m.end() : end].decode().split("\r\n"))
-        length = int(fields["Content-Length"])
+        lines = re.sub(r"\r\n[ \t]+", " ", data[m.end() : end].decode()).split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
+        length = int(fields["content-length"])
     except (ValueError, KeyError, UnicodeDecodeError):
         return None
     block = data[end + 4 : end + 4 + length]
     after = end + 4 + length + 4
-    if length < 0 or len(block) != length or data[after - 4 : after] != b"\r\n\r\n" or fields.get("WARC-Block-Digest") != f"sha1:{digest(block)}":
+    whole = _agrees(fields.get("warc-block-digest"), block)
+    if length < 0 or len(block) != length or data[after - 4 : after] != b"\r\n\r\n" or whole is False:
         return None
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"Content-Length: (\d+)", http)
-    kind, named = fields.get("WARC-Type", ""), fields.get("WARC-Payload-Digest", "sha1:").partition(":")[2]
-    if not size or kind == "response" and (digest(payload) != named or int(size[1]) != len(payload)):
+    kind, stated = fields.get("warc-type", ""), fields.get("warc-payload-digest")
+    http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    size = re.search(rb"(?im)^Content-Length:[ \t]*(\d+)", http)
+    chunked = re.search(rb"(?im)^Transfer-Encoding:[^\r\n]*chunked", http)
+    same = None
+    if kind != "revisit":  # a revisit states the length and digest of a payload that it does not have
+        if size and not chunked and kind == "response" and int(size[1]) != len(payload):
+            return None
+        same = _agrees(stated, payload)
+        content = _dechunked(payload) if chunked else None
+        if content is not None:  # writers state the digest of the body as sent, or of its content
+            same = True if same else _agrees(stated, content)
+            payload = content
+        if same is False:
+            return None
+    if proven and not (whole or same):
         return None
+    named = stated.partition(":")[2] if stated else "" if kind == "revisit" else digest(payload)
     number = lambda k: int(fields[k]) if fields.get(k) else None
     try:
-        return Record(number("X-Page-ID"), fields.get("WARC-Target-URI"), kind, number("X-Refers-To-Page-ID"), named, int(size[1]), payload), after
+        length = int(size[1]) if size and not chunked else len(payload)
+        return Record(number("x-page-id"), fields.get("warc-target-uri"), kind, number("x-refers-to-page-id"), named, length, payload), after
     except ValueError:
         return None
 
@@ -107,22 +151,61 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else None
 
 
+def _prefix(data: bytes, at: int) -> tuple[bytes, bool]:
+    """What a broken member inflates to before it fails or ends, and whether nothing but its end is missing."""
+    unpacker, out, step = zlib.decompressobj(31), [], 4096
+    while at < len(data):
+        before = unpacker.copy()
+        try:
+            out.append(unpacker.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), False
+            unpacker, step = before, 1  # the failing piece again, byte by byte
+            continue
+        at += step
+    return b"".join(out), True
+
+
+def _inside(plain: bytes, proven: bool) -> tuple[list[Record], bool]:
+    """The records of a member's data, and whether they are all of it; after a failed one the search goes on at the next version line."""
+    got, at, whole = [], 0, True
+    while at < len(plain):
+        one = parse_record(plain, at, proven)
+        if one is None:
+            whole = whole and not plain[at:].strip(b"\r\n")
+            start = VERSION.search(plain, at + 1)
+            if not start:
+                break
+            at = start.start()
+            continue
+        got.append(one[0])
+        at = one[1]
+    return got, whole
+
+
 def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
-    """Records of an archive (gzip members or plain, also mixed) and the byte ranges (start, end) that hold none."""
+    """Records of an archive (gzip members or plain, also mixed) and the byte ranges (start, end) that hold what could not be read.
+
+    The range of a member that is not read in whole is logged beside the records that it does give.
+    """
     at, bad = 0, None
     n = len(data)
     while at < n:
         got: list[Record] | None = None
-        if data.startswith(MEMBER, at) and (unpacked := _inflate(data, at)):
-            plain, after = unpacked
-            got, inner = [], 0
-            while inner < len(plain):
-                one = parse_record(plain, inner)
-                if one is None:
-                    got = None
-                    break
-                got.append(one[0])
-                inner = one[1]
+        if data.startswith(MEMBER, at):
+            if unpacked := _inflate(data, at):
+                plain, after = unpacked
+                got, whole = _inside(plain, False)
+                if not whole:
+                    if bad is not None and bad < at:
+                        yield bad, at
+                    yield from got
+                    yield at, after
+                    bad, at = None, after
+                    continue
+            else:
+                yield from _inside(*((p := _prefix(data, at))[0], not p[1]))[0]
         elif one := parse_record(data, at):
             got, after = [one[0]], one[1]
         if got is not None:
