@@ -498,9 +498,48 @@ def test_neighbours_edge_cases(spark):
     assert len(few) == 2 and {x["vec_id"] for x in few} == {1, 2}
 
 
+def exact_neighbours(rows, every=20, k=20):
+    """query_id -> sorted lists of (rank, vec_id, score), one for each row of the id."""
+    good = [(i, np.array(v, float)) for i, v, _ in rows]
+    out: dict = {}
+    for a, (i, q) in enumerate(good):
+        if i % every == 0:
+            near = sorted((-float(q @ x), j) for b, (j, x) in enumerate(good) if b != a)[:k]
+            out.setdefault(i, []).append([(n + 1, j, round(-s, 9)) for n, (s, j) in enumerate(near)])
+    return out
+
+
+@pytest.mark.parametrize("n", [6, 20, 21, 24, 60])
+def test_small_tables_are_searched_in_whole(spark, n):
+    r = np.random.default_rng(n)
+    rows = [(i, [float(v) for v in r.normal(size=64)], 0) for i in range(n)]
+    got = ann.search(vectors(spark, rows)).collect()
+    exact = exact_neighbours([(i, np.float32(v), 0) for i, v, _ in rows])
+    for i, lists in exact.items():
+        own = sorted((x["rank"], x["vec_id"]) for x in got if x["query_id"] == i)
+        assert len(own) == min(20, n - 1)
+        if n <= 21:
+            assert own == [x[:2] for x in lists[0]]
+
+
+def test_neighbours_of_repeated_ids_and_hot_vectors(spark):
+    r = np.random.default_rng(5)
+    same = [1.0, 2.0, 3.0, 4.0]
+    rows = [(i, [float(v) for v in r.integers(-3, 4, 4)], 0) for i in range(1, 12)]
+    rows = [x for x in rows if any(x[1])] + [(300 + i, same, 0) for i in range(90)]  # one vector of most rows
+    rows += [(40, [1.0, 1.0, 1.0, 1.0], 0), (40, [2.0, 0.0, 0.0, 1.0], 0), (300, same, 0)]  # repeats: unequal and equal
+    broken = [(40, [1.0, None, 1.0, 1.0], 0)]  # an invalid repeat takes no valid one with it
+    got = ann.search(vectors(spark, rows + broken)).collect()
+    exact = exact_neighbours(rows)
+    assert {x["query_id"] for x in got} == set(exact) == {40, 300, 320, 340, 360, 380}
+    for i, lists in exact.items():
+        own = sorted((x["rank"], x["vec_id"], round(x["score"], 9)) for x in got if x["query_id"] == i)
+        assert own == sorted(x for one in lists for x in one)
+
+
 def test_hot_lists_are_split():
     counts = np.array([5, 200_000, 10, 0, 3])
-    deal = ann.Deal.of(counts, 20)
+    deal = ann.Deal.of(counts, 10_000, 0.5, 21)
     assert deal.parts[1] > 1 and deal.base[1] + deal.parts[1] - 1 < deal.base[2] and deal.base[2] == deal.base[3] == deal.base[4]
 
 
