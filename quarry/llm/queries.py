@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.oracle_sql()}
+    return {"op1_html_extraction": html_text.oracle_sql(), "op3_license_scan": licenses.oracle_sql(), "op4_warc_salvage": warc.oracle_sql()}

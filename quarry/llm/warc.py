@@ -290,3 +290,17 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     found = read_archives(spark, path, with_payload=False)
     return found.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def oracle_sql() -> str:
+    """The same records in DuckDB: SHA-1 and its base32 form, five hex digits as four letters at a time."""
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"
+    value = " + ".join(f"(strpos('{digits}', substr(h, g * 5 + {i + 1}, 1)) - 1) * {16 ** (4 - i)}" for i in range(5))
+    text = " || ".join(f"substr('{letters}', 1 + ((v // {32 ** (3 - i)}) % 32), 1)" for i in range(4))
+    return f"""
+with payloads as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as h from pages),
+firsts as (select h, min(page_id) as first from payloads group by h)
+select page_id, octet_length(encode(payload))::bigint as payload_bytes,
+       array_to_string(list_transform(list_transform(range(8), lambda g: {value}), lambda v: {text}), '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from payloads join firsts using (h)"""

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -66,6 +67,40 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+P = "A paragraph of prose, with commas, and long enough to count for its container."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<nav><a href=x>Home</a></nav><div class='ad'>Buy this.</div><footer>Copyright notice of the site</footer>", ""),
+        (f"<article><p>{P}</p><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></article>", f"{P}\nOne\nTwo"),
+        (f"<article><p>{P}</p><section id='related-work'><p>{P} Again.</p></section><div class='notice-period'><p>{P} Then.</p></div></article>", f"{P}\n{P} Again.\n{P} Then."),
+        (f"<article><p>{P}</p></article><article><p>A second, short.</p></article>", f"{P}\nA second, short."),
+        (f"<main><section><article><p>{P}</p><p>{P}</p></article></section><section><article><p>{P} Two.</p></article></section></main>", f"{P}\n{P}\n{P} Two."),
+        (f"<article><div><p>{P}</p></div><div><p>{P} Two.</p></div><article class='comment'><p>{P} I say.</p></article></article>", f"{P}\n{P} Two."),
+        (f"<div class='page-sidebar'><p>{P}</p></div><div id=c><div><p>{P}</p></div><div><p>{P} Two.</p></div></div><p class=notice>{P} Soon.</p>", f"{P}\n{P} Two."),
+        (f"<ul><li><a>Home</a><li><a>News</a><li><a>About</a></ul><div><p>{P}</p><p>{P}</p></div>", f"{P}\n{P}"),
+    ],
+)
+def test_only_furniture_is_left_out(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(("up", "down"), [("<div>", "</span>"), ("<b>", "</i>"), ("<i><td>", "</div>")])
+def test_time_is_linear_in_depth(up, down):
+    took = []
+    for n in (50_000, 100_000):
+        began = time.process_time()
+        assert html_text.main_text(up * n + P + down * n) == P
+        took.append(time.process_time() - began)
+    assert took[1] < 3.2 * took[0] + 0.3
+
+
+def test_main_text_of_all_pages_matches_sql(spark):
+    assert differences(html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")), connect("/root/testdata/sf0.01"), html_text.oracle_sql()) == ""
+
+
 def test_deep_and_broken_pages():
     deep = "<div>" * 20_000 + "<p>the text, deep down, in the page</p>"
     assert html_text.main_text(deep) == "the text, deep down, in the page"
