@@ -8,20 +8,21 @@ The likeness of two fingerprints is the estimated containment of the smaller in
 the smaller sketch. Where one of them has kept no hash, it is 1 for equal texts and else 0.
 
 Defined cases: a null text counts as empty; equal texts have equal fingerprints; texts shorter than a shingle keep none; the
-next document is by descending doc_id (nulls last, ties by text), the last one's next is the first, a single one is its own
-next; repeated rows are documents of their own; an empty table gives an empty result.
+next document is by descending doc_id (nulls last, ties by descending text), the last one's next is the first, a single one is its
+own next; repeated rows are documents of their own; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH = 8
@@ -173,21 +174,37 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_documents(documents: DataFrame) -> DataFrame:
     """The columns of OUT for every document, its edited text and its next document.
 
-    Parts are ranges of doc_id between a bounded number of quantiles, found once. One range shuffle of the parts puts
-    neighbours together; the last row of each part meets the first text of the next in a small second step over one row a
-    part, which reads the same shuffle again.
+    Parts are ranges of doc_id between a bounded number of quantiles, found once; where many quantiles fall on one doc_id, or
+    many rows have none, quantiles of the text's first bytes divide its rows. One range shuffle of the parts puts neighbours together; the
+    last row of each part meets the first text of the next in a small join over one row a part, which reads the same shuffle again.
     """
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(documents.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 0.1 / n)), reverse=True)
-    above = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    # how many cuts are not below the row: cuts descend, so parts ascend as doc_id descends
-    part = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(above, lambda c: c > F.col("doc_id").cast("double"))))
-    rows = documents.select(part.cast("int").alias("part"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    at = F.percentile_approx("doc_id", [i / (4 * n) for i in range(1, 4 * n)], 10 * n)
+    every, named, cuts = rows.agg(F.count("*"), F.count("doc_id"), at).first()
+    cuts = sorted(cuts or [], reverse=True)
+    above, same = F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), F.col("doc_id")
+    # how many cuts lie above the row: cuts descend, so parts ascend as doc_id descends
+    part = F.coalesce(F.size(F.filter(above, lambda c: c > same)), F.lit(0)) + F.when(same.isNull(), len(cuts) + 1).otherwise(0)
+    shares = {c: k for c, k in Counter(cuts).items() if k > 1} | ({None: 4 * n * (every - named) // every + 1} if every > named else {})
+    if shares:  # at most 4 n cuts in all, of documents without an id and of ids with more than one part's rows
+        start = F.conv(F.rpad(F.hex(F.substring(F.encode("text", "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        of_many = rows.where(same.isNull() | same.isin([c for c in shares if c is not None]))
+        found = of_many.groupBy("doc_id").agg(F.percentile_approx(start, [i / (4 * n) for i in range(1, 4 * n)], 10 * n)).collect()
+        inner = F.lit(0)
+        for c, at in found:
+            own = F.array(*[F.lit(at[i * (4 * n - 1) // shares[c]]) for i in range(1, shares[c])]).cast("array<long>")
+            inner = F.when(same.eqNullSafe(F.lit(c).cast("long")), F.size(F.filter(own, lambda x: x > start))).otherwise(inner)
+        part = part + inner
+    rows = rows.withColumn("part", part.cast("int"))
     order = ["part", F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    ordered = rows.repartitionByRange(n, "part").sortWithinPartitions(*order)
+    ordered = rows.repartitionByRange(n, "part").sortWithinPartitions(*order).select("part", "doc_id", "text")
     inside = ordered.mapInArrow(_inside, OUT)
     ends = ordered.mapInArrow(_ends, "part int, doc_id long, text string, first string")
-    line = Window.orderBy("part")  # one row a part
-    around = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    paired = ends.select("doc_id", "text", F.coalesce(F.lead("first").over(line), F.first("first").over(around)).alias("following"))
+    parts = sorted(r[0] for r in rows.select("part").distinct().collect())  # at most 4 n + 1 and as many numbers for nulls
+    if not parts:
+        return inside
+    following = F.element_at(F.create_map(*[F.lit(x) for kv in zip(parts, [*parts[1:], parts[0]], strict=True) for x in kv]), F.col("part"))
+    firsts = ends.select(F.col("part").alias("following"), "first")
+    paired = ends.select(following.alias("following"), "doc_id", "text").join(firsts, "following").select("doc_id", "text", "first")
     return inside.unionByName(paired.mapInArrow(_edges, OUT))
