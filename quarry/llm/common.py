@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key counts as hot from this share of all rows; so at most HOT_SHARE keys are hot, which bounds what is broadcast.
@@ -43,7 +43,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet in the shared folder and rereads it: lineage ends there, and a lost executor costs no recomputation."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_materialized", None):
+            delete_path(df.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -58,6 +67,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return next(n for n in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if n.lower() not in taken)
 
 
+def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The frame with each row's place from 0 on in a global order of unique keys. Rows are sorted by ranges, and only one
+    number a range goes to the driver."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_range").count().collect())
+    before = dict(zip([k for k, _ in sizes], itertools.accumulate([m for _, m in sizes], initial=0), strict=False))
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in before.items() for x in kv]), F.col("_range").cast("long")) if before else F.lit(0)
+    return dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + offset).drop("_range")
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: str) -> DataFrame:
     """Left join to a frame with one row a key, where a key may hold any share of the left rows.
 

@@ -224,8 +224,9 @@ def near_duplicates(documents: DataFrame, distance: int = DISTANCE, limit: int =
     distinct = materialize(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
     reached = components(links(distinct.select("fp"), distance, limit=limit))
     rooted = distinct.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "n", "component_id"), "named")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = lookup(rooted, materialize(least, "least"), "root", F.col("fp"), "members")  # a root may hold any share of the fingerprints
+    named = materialize(named.select("fp", "n", "component_id"), "named")
     return lookup(prints, named, "fp", F.coalesce("doc_id", F.rand(7) * 2**40).cast("long"), "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
