@@ -2,7 +2,7 @@
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share the words of all documents by weight; a
 target stops at ``MOST`` times its source's words and the excess is shared again by weight. Each source's documents lie in
-permuted blocks (by a hash of the document). A source is passed over in whole as often as fits its target, and a last pass
+permuted blocks (by a hash of the document), of about ``BLOCK_WORDS`` words, but ``BLOCKS`` bound their number. A source is passed over in whole as often as fits its target, and a last pass
 takes its first permuted blocks; within the one block that crosses the target, documents are taken in hash order up to the
 nearest to it. A splitting tree divides the block copies of all sources among the output shards: each node draws its left
 half's counts from a multivariate hypergeometric distribution over the sources, so each shard knows exactly how many blocks of
@@ -10,7 +10,8 @@ each source it gets and takes the next ones of the permutation; rows are shuffle
 
 Defined cases: a null text has size 0 and an empty one too; documents of size 0 take 0 words and are left out of the mix; null is a source of its own,
 after the others; identical rows are taken equally often; an empty table gives an empty result. All draws depend on
-``seed`` and the documents' ids and texts alone, so reruns agree. Other columns are left out of the plan, and kept by ``mix``.
+``seed`` and the documents' ids and texts alone, so reruns agree. Other columns are left out of the plan, and kept by ``mix``,
+whose own two columns come last and are named ``shard_1`` or ``position_1`` and so on where the documents have such columns.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_batches, materialize, utf8
+from quarry.llm.common import free_name, lookup, map_batches, materialize, utf8
+from quarry.llm.common import ranked as in_order
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK_WORDS = 200_000
+#: Blocks of a source: at least (so that small sources are drawn from by blocks, too), at most (so that one task can order them).
+BLOCKS = (64, 1 << 20)
 SHARD_WORDS = 1_000_000
 #: Sources in the vector that the splitting tree draws; more sources than that share an entry by their index.
 MAX_STRATA = 4096
@@ -44,9 +48,7 @@ def sizes(documents: DataFrame) -> DataFrame:
 def targets(sized: DataFrame) -> DataFrame:
     """source, idx (place in code-point order, null last), weight, source_size, target of every source."""
     totals = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "totals")
-    spark = sized.sparkSession
-    ordered = totals.orderBy(F.col("source").asc_nulls_last()).rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[0][2], x[1]))
-    ranked = spark.createDataFrame(ordered, "source string, source_size long, n long, idx long")
+    ranked = in_order(totals, "idx", F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("idx") % len(WEIGHTS) + 1).cast("int"))
     ranked = materialize(ranked.withColumn("weight", weight), "ranked")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -68,13 +70,14 @@ def plan(documents: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS) -
     """doc_id, source, idx, size, text_hash, source_size, target, block, passes (how often the mix takes the document) of every row."""
     sized = materialize(sizes(documents), "sizes")
     aimed = materialize(targets(sized), "targets")
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
+    n_blocks = F.least(F.lit(BLOCKS[1]), F.greatest(F.lit(BLOCKS[0]), F.ceil(F.col("source_size") / block_words))).cast("long")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-12).cast("int")
     aimed = aimed.withColumn("n_blocks", n_blocks).withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    if aimed.count() <= MAX_STRATA:
-        aimed = F.broadcast(aimed)
-    rows = sized.join(aimed.withColumnRenamed("source", "_source").drop("n"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key")
+    aimed = aimed.select(key, *[c for c in aimed.columns if c != "source"])
+    keyed = sized.select("*", key)
+    rows = keyed.join(F.broadcast(aimed.drop("n")), "key") if aimed.count() <= MAX_STRATA else lookup(keyed, materialize(aimed, "sources"), "key", F.col("text_hash"), "n")
     mark = _hash("text_hash", seed)
     rows = rows.withColumn("block", F.pmod(mark, F.col("n_blocks"))).withColumn("mark", _hash("text_hash", seed + 1))
     blocks = rows.groupBy("idx", "block", "rest").agg(F.sum("size").alias("words"))
@@ -84,11 +87,12 @@ def plan(documents: DataFrame, seed: int = 42, block_words: int = BLOCK_WORDS) -
     placed = materialize(placed.withColumn("state", state).select(F.col("idx").alias("_idx"), F.col("block").alias("_block"), "state", (F.col("rest") - F.col("before")).alias("room")), "blocks")
     # One block a source crosses its target, and only its documents are put in order: blocks have a bounded number of words.
     crossing = placed.where("state = 2").select("_idx", "_block", "room")
-    inner = rows.where("size > 0").join(crossing, (F.col("idx") == F.col("_idx")) & (F.col("block") == F.col("_block"))).select("idx", "doc_id", "text_hash", "mark", "size", "room")
+    inner = rows.where("size > 0").join(crossing, (F.col("idx") == F.col("_idx")) & (F.col("block") == F.col("_block")))
+    alike = inner.groupBy("idx", "doc_id", "text_hash", "mark", "room").agg(F.sum("size").alias("words"))  # identical rows go in or stay out together
     running = Window.partitionBy("idx").orderBy("mark", "text_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("size").over(running)
-    taken = inner.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("room"))  # the row that crosses goes in if that is nearer
-    taken = taken.groupBy(F.col("idx").alias("_i"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.count("*").alias("_times"))
+    upto = F.sum("words").over(running)
+    taken = alike.withColumn("upto", upto).where(F.col("upto") - F.col("words") / 2 <= F.col("room"))  # what crosses goes in if that is nearer
+    taken = taken.select(F.col("idx").alias("_i"), F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.lit(1).alias("_times"))
     last = materialize(taken, "crossing")
     done = placed.where("state = 1").select("_idx", "_block", F.lit(1).alias("_all"))
     out = rows.join(done, (F.col("idx") == F.col("_idx")) & (F.col("block") == F.col("_block")), "left")
@@ -146,15 +150,17 @@ def mix(documents: DataFrame, seed: int = 42, shard_words: int = SHARD_WORDS, bl
     dealt = units.join(place, ["stratum", "place"]).select(F.col("idx").alias("_idx"), F.col("block").alias("_block"), F.col("turn").alias("_turn"), "shard")
     drawn = copies.join(dealt, (F.col("idx") == F.col("_idx")) & (F.col("block") == F.col("_block")) & (F.col("turn") == F.col("_turn")))
     where_to = drawn.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("source").alias("_source"), "shard", _hash("text_hash", "turn", seed + 3).alias("position")).distinct()
-    source = documents.withColumn("_h", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))  # rows of two sources may agree in all else
-    out = source.join(where_to, same & (F.col("_h") == F.col("_text_hash")))
-    return out.select(*[F.col(c) for c in documents.columns if c not in ("shard", "position")], "shard", "position")
+    h, shard, position = (free_name(documents, c) for c in ("_h", "shard", "position"))
+    source = documents.withColumn(h, F.xxhash64(F.col("doc_id").cast("long"), "text")).alias("d")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("w._doc_id")) & F.col("d.source").eqNullSafe(F.col("w._source"))  # rows of two sources may agree in all else
+    out = source.join(where_to.alias("w"), same & (F.col(f"d.{h}") == F.col("w._text_hash")))
+    return out.select(*[F.col(f"d.`{c}`") for c in documents.columns], F.col("w.shard").alias(shard), F.col("w.position").alias(position))
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """The mix with each shard's rows together in their shuffled order."""
-    return mixed.repartition("shard").sortWithinPartitions("shard", "position")
+    shard, position = mixed.columns[-2:]
+    return mixed.repartition(shard).sortWithinPartitions(shard, position)
 
 
 def taken(documents: DataFrame, seed: int = 42, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:

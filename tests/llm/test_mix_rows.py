@@ -31,3 +31,36 @@ def test_op6_counts_what_was_dealt(spark, monkeypatch):
     dealt = mixing.mix
     monkeypatch.setattr(mixing, "mix", lambda *a, **k: dealt(*a, **k).where(~mixing.F.col("doc_id").eqNullSafe(gone)))
     assert [x["taken"] for x in queries.op6_source_mixing(spark, "").collect() if x["doc_id"] == gone] == [0]
+
+
+def test_quotas_of_the_shards_are_what_is_taken(spark):
+    """The blocks that the tree deals to the shards, added up by hand, are the words that op6 reports."""
+    docs = documents(spark, rows())
+    planned = mixing.plan(docs, block_words=700).collect()
+    dealt = mixing.mix(docs, shard_words=3000, block_words=700).collect()
+    by_shard: dict = {}
+    for x in dealt:
+        by_shard.setdefault(x["shard"], Counter())[x["source"]] += len((x["text"] or "").encode().split())
+    assert len(by_shard) > 3 and len({x["block"] for x in planned if x["source"] == "big"}) > 10
+    reported = Counter()
+    for x in mixing.taken(docs, shard_words=3000, block_words=700).collect():
+        reported[next(p["source"] for p in planned if (p["doc_id"], p["source_size"]) == (x["doc_id"], x["source_size"]))] += x["taken"]
+    assert sum(by_shard.values(), Counter()) == +reported
+
+
+def test_columns_of_the_same_names_are_kept(spark):
+    docs = documents(spark, rows())
+    for c in ("shard", "position", "_h", "_doc_id", "idx", "block", "_source"):
+        docs = docs.withColumn(c, mixing.F.lit(5))
+    mixed = mixing.mix(docs, shard_words=3000, block_words=700)
+    assert mixed.columns == [*docs.columns, "shard_1", "position_1"]
+    out = mixing.shuffled(mixed).collect()
+    assert {x["shard"] for x in out} == {x["_h"] for x in out} == {5} and len({x["shard_1"] for x in out}) > 3
+    assert mixing.shuffled(mixing.mix(docs.limit(0))).count() == 0
+
+
+def test_many_sources_are_looked_up(spark, monkeypatch):
+    docs = documents(spark, rows())
+    few = sorted(map(str, mixing.plan(docs, block_words=700).collect()))
+    monkeypatch.setattr(mixing, "MAX_STRATA", 2)
+    assert sorted(map(str, mixing.plan(docs, block_words=700).collect())) == few
