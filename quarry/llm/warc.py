@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh_path, lookup, materialize
+from quarry.llm.common import delete_path, fresh_path, lookup, materialize
 
 ARCHIVE_BYTES = 8_000_000
 MEMBER = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: A header block ends at an empty line, and none holds another version line.
+HEAD_END = re.compile(rb"\r\n(?:\r\n|WARC/1\.[01]\r\n)")
 DATE = "2026-01-01T00:00:00Z"
 
 
@@ -102,9 +104,10 @@ def parse_record(data: bytes, at: int = 0, proven: bool = False) -> tuple[Record
     m = VERSION.match(data, at)
     if not m:
         return None
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
+    ended = HEAD_END.search(data, m.end() - 2)
+    if not ended or ended[0] != b"\r\n\r\n":
         return None
+    end = ended.start()
     try:
         lines = re.sub(r"\r\n[ \t]+", " ", data[m.end() : end].decode()).split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
@@ -143,23 +146,26 @@ def parse_record(data: bytes, at: int = 0, proven: bool = False) -> tuple[Record
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    unpacker = zlib.decompressobj(31)
+    """A member's data and the offset after it; None if it does not inflate in whole."""
+    unpacker, out, step = zlib.decompressobj(31), [], 1 << 16
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while not unpacker.eof and at < len(data):
+            out.append(unpacker.decompress(data[at : at + step]))
+            at += step
     except zlib.error:
         return None
-    return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else None
+    return (b"".join(out), min(at, len(data)) - len(unpacker.unused_data)) if unpacker.eof else None
 
 
 def _prefix(data: bytes, at: int) -> tuple[bytes, bool]:
     """What a broken member inflates to before it fails or ends, and whether nothing but its end is missing."""
     unpacker, out, step = zlib.decompressobj(31), [], 4096
     while at < len(data):
-        before = unpacker.copy()
+        before = unpacker.copy() if step > 1 else None
         try:
             out.append(unpacker.decompress(data[at : at + step]))
         except zlib.error:
-            if step == 1:
+            if before is None:
                 return b"".join(out), False
             unpacker, step = before, 1  # the failing piece again, byte by byte
             continue
@@ -167,6 +173,21 @@ def _prefix(data: bytes, at: int) -> tuple[bytes, bool]:
     return b"".join(out), True
 
 
+class _Places:
+    """The next place where a member or record may start; each kind's place is searched once, however many false ones precede it."""
+
+    def __init__(self, data: bytes):
+        self.data, self.member, self.version = data, -1, -1
+
+    def after(self, at: int) -> int:
+        n = len(self.data)
+        if self.member <= at:
+            self.member = place if (place := self.data.find(MEMBER, at + 1)) >= 0 else n
+        if self.version <= at:
+            self.version = found.start() if (found := VERSION.search(self.data, at + 1)) else n
+        return min(self.member, self.version)
+
+
 def _inside(plain: bytes, proven: bool) -> tuple[list[Record], bool]:
     """The records of a member's data, and whether they are all of it; after a failed one the search goes on at the next version line."""
     got, at, whole = [], 0, True
@@ -190,7 +211,7 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
     The range of a member that is not read in whole is logged beside the records that it does give.
     """
     at, bad = 0, None
-    n = len(data)
+    n, places = len(data), _Places(data)
     while at < n:
         got: list[Record] | None = None
         if data.startswith(MEMBER, at):
@@ -216,9 +237,7 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int]]:
             at = after
             continue
         bad = at if bad is None else bad
-        start = VERSION.search(data, at + 1)
-        places = [p for p in (data.find(MEMBER, at + 1), start.start() if start else -1) if p >= 0]
-        at = min(places, default=n)
+        at = places.after(at)
     if bad is not None and data[bad:].strip(b"\r\n"):
         yield bad, n
 
@@ -283,13 +302,21 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     return files.mapInArrow(unpack, READ)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes all pages to archives in the shared folder and returns what the reader finds in them."""
+def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes all pages to archives in the shared folder; returns what the reader finds in them, and its log of gaps (archive, gap_start,
+    gap_end). The archives are deleted once they are read."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
-    found = read_archives(spark, path, with_payload=False)
-    return found.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = materialize(read_archives(spark, path, with_payload=False), "read")
+    delete_path(spark, path)
+    records = found.where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return records, found.where("record_type is null").select("archive", "gap_start", "gap_end")
+
+
+def round_trip(pages: DataFrame) -> DataFrame:
+    """The records that the reader finds in archives of all pages."""
+    return archive(pages)[0]
 
 
 def oracle_sql() -> str:
