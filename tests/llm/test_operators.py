@@ -161,6 +161,42 @@ def test_license_inheritance(spark):
     assert licenses.scan(frame.limit(0)).count() == 0
 
 
+LEAD = "Some code comes first, " + " ".join(f"name{k}" for k in range(40)) + ".\n\n"
+
+
+@pytest.mark.parametrize(
+    ("text", "license_", "origin"),
+    [
+        (lambda: "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + licenses._MIT_GRANT + "\n\n" + licenses._MIT_NOTICE + "\n\n" + licenses._AS_IS[:60], "MIT", "file"),
+        (lambda: "\n".join("# " + x for x in ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]) + "\n#\nimport os\n" + "value = compute(value)\n" * 30, "GPL-3.0", "header"),
+        (lambda: LEAD + "// SPDX-License-Identifier: MIT\n\nint main;", "MIT", "header"),
+        (lambda: LEAD + "# SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0", "header"),
+        (lambda: LEAD + "Copyright (c) 2021 Jane Doe. Released under the MIT License.\nx", "MIT", "header"),
+        (lambda: LEAD + "The MIT License (MIT)\nx", "MIT", "header"),
+        (lambda: LEAD + licenses._APACHE + licenses._APACHE_END + "\n\n" + "code here " * 40, "Apache-2.0", "header"),
+        (lambda: "Copyright 2020, A. Writer\nAll rights reserved.\n\n" + " ".join([licenses._BSD_HEAD, licenses._BSD_TWO, licenses._BSD_THREE, licenses._BSD_END]), "BSD-3-Clause", "file"),
+        (lambda: LEAD + "The licence of poets is to say what they like.", None, None),
+        (lambda: "prose " * 60_000 + "\n\nReleased under the MIT License.", "MIT", "header"),
+    ],
+)
+def test_real_notices_are_found(spark, text, license_, origin):
+    rows = [(1, "p/x.txt", text())] + [(i, f"o{i}/x", f"plain words of file {i}, the code and the rest of it, to be the corpus") for i in range(2, 60)]
+    got = {r["id"]: r for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert (got[1]["license"], got[1]["origin"]) == (license_, origin) and all(got[i]["license"] is None for i in range(2, 60))
+
+
+def test_license_files_by_name_and_clashing_columns(spark):
+    gpl = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "Everyone is permitted to do many other things that this long text says. " * 50
+    rows = [(0, "a/COPYING", gpl), (1, "a/b/x.c", "int x;"), (2, "z/x.c", gpl), (3, "z/y.c", ""), (3, "z/y.c", "")]
+    frame = spark.createDataFrame(rows, "id long, path string, text string")
+    for c in ("license", "_file", "_dir", "_row", "dir", "own", "held", "rest", "word"):
+        frame = frame.withColumn(c, F.lit("mine"))
+    out = licenses.scan(frame)
+    assert out.columns[-3:] == ["license_1", "origin", "score"] and set(frame.columns) - {"text"} <= set(out.columns)
+    got = {r["id"]: (r["license_1"], r["origin"], r["license"], r["own"]) for r in out.collect()}
+    assert got == {0: ("GPL-3.0", "file", "mine", "mine"), 1: ("GPL-3.0", "inherited", "mine", "mine"), 2: ("GPL-3.0", "header", "mine", "mine"), 3: (None, None, "mine", "mine")} and out.count() == 5
+
+
 # --- WARC ------------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://x/{i} y", "same <p>ü" if i % 7 == 0 else None if i % 11 == 0 else f"<p>{i}</p>" * 50) for i in range(300)] + [(None, None, "same <p>ü"), (5, "again", "<p>5</p>" * 50)]
