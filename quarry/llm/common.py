@@ -78,15 +78,15 @@ def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1 + offset).drop("_range")
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: str) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str, spread: Column, weight: str, total: int | None = None) -> DataFrame:
     """Left join to a frame with one row a key, where a key may hold any share of the left rows.
 
-    ``right`` has ``key``, ``weight`` (how many left rows have the key) and the columns to add, and should be materialized.
+    ``right`` has ``key``, ``weight`` (how many left rows have the key) and the columns to add, and should be materialized unless the ``total`` of its weights is known.
     The keys with at least 1/HOT_SHARE of the weight, at most HOT_SHARE of them, are broadcast; their left rows meet no
     partner in the shuffled join and are dealt out by ``spread`` instead, so no task gets a hot key's rows.
     """
     added = [c for c in right.columns if c not in (key, weight)]
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    total = right.agg(F.sum(weight)).first()[0] or 0 if total is None else total
     least = max(1000, total / HOT_SHARE)
     hot = right.where(F.col(weight) >= least).select(F.col(key), F.struct(*added).alias("_hot"), F.lit(True).alias("_is_hot"))
     cold = right.where(F.col(weight) < least).select(F.col(key).alias("_key"), F.lit(True).alias("_cold_key"), F.struct(*added).alias("_cold"))
