@@ -79,6 +79,12 @@ _sql(
 )
 _sql("sql_scalar_subquery_filter", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer) AND c_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_7')")
 _sql("sql_derived_table", "SELECT t.n_orders, COUNT(*) AS n_customers FROM (SELECT c.c_custkey, COUNT(o.o_orderkey) AS n_orders FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey) AS t GROUP BY t.n_orders")
+_sql("sql_glob", "SELECT n_nationkey, n_name FROM nation WHERE n_name GLOB 'NATION_[1-3]*' OR n_name GLOB '*_?' AND NOT n_name GLOB 'nation*'")
+_sql(
+    "sql_modulo",
+    "SELECT o_orderkey, o_orderkey % 7 AS m, -o_orderkey % (o_custkey % 3) AS z FROM orders WHERE o_orderkey % 5 = 0",
+    "SELECT o_orderkey, o_orderkey % 7 AS m, case when o_custkey % 3 = 0 then null else -o_orderkey % (o_custkey % 3) end AS z FROM orders WHERE o_orderkey % 5 = 0",
+)
 _sql("sql_between_ilike", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%BLUE%' AND p_size BETWEEN 5 AND 40", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%BLUE%' AND p_size BETWEEN 5 AND 40")
 _sql(
     "sql_case_ratio",
@@ -236,16 +242,16 @@ def group_relative_threshold(spark, sf_dir):
 _DOT = "round(list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: cast(v.embedding[i] as double) * cast(q.embedding[i] as double))), 6)"
 
 
-@query(f"select query_id, vec_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from (select q.vec_id as query_id, v.vec_id, {_DOT} as score from embeddings v, embeddings q where q.vec_id < 5 and v.vec_id <> q.vec_id)) where rank <= 5")
+@query(f"select query_id, vec_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from (select q.vec_id as query_id, v.vec_id, {_DOT} as score from embeddings v, embeddings q where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id)) where rank <= 5")
 def vector_topk(spark, sf_dir):
     rows = catalog(spark, sf_dir).table("embeddings")
-    return vectors.top_by_dot(rows, rows.where("vec_id < 5")).select("query_id", "vec_id", "score", "rank")
+    return vectors.top_by_dot(rows, rows.where("vec_id % 50 = 0")).select("query_id", "vec_id", "score", "rank")
 
 
-@query(f"select query_id, label, vec_id, score, rank from (select *, cast(row_number() over (partition by query_id, label order by score desc, vec_id) as integer) as rank from (select q.vec_id as query_id, v.label, v.vec_id, {_DOT} as score from embeddings v, embeddings q where q.vec_id < 3 and v.vec_id <> q.vec_id)) where rank <= 2")
+@query(f"select query_id, label, vec_id, score, rank from (select *, cast(row_number() over (partition by query_id, label order by score desc, vec_id) as integer) as rank from (select q.vec_id as query_id, v.label, v.vec_id, {_DOT} as score from embeddings v, embeddings q where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id)) where rank <= 2")
 def vector_topk_per_label(spark, sf_dir):
     rows = catalog(spark, sf_dir).table("embeddings")
-    return vectors.top_by_dot(rows, rows.where("vec_id < 3").select("vec_id", "embedding"), 2, "label")
+    return vectors.top_by_dot(rows, rows.where("vec_id % 50 = 0").select("vec_id", "embedding"), 2, "label")
 
 
 def _descriptions(spark: SparkSession) -> DataFrame:
@@ -476,9 +482,11 @@ def first_occurrence(spark, sf_dir):
     return datasets.first_occurrence(catalog(spark, sf_dir).table("events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query("select i as doc_id from range(0, 10000) t(i) where i not in (select doc_id from labels)")
+@query("select i as doc_id from range((select min(doc_id) from documents), (select max(doc_id) + 1 from documents)) t(i) where i not in (select doc_id from labels)")
 def missing_ids(spark, sf_dir):
-    return datasets.missing_ids(spark, catalog(spark, sf_dir).table("labels"), "doc_id", 0, 9999)
+    c = catalog(spark, sf_dir)
+    first, last = c.table("documents").agg(F.min("doc_id"), F.max("doc_id")).first()
+    return datasets.missing_ids(spark, c.table("labels"), "doc_id", first, last)
 
 
 @query("select c.c_custkey, coalesce(n.r, c.c_mktsegment) as c_mktsegment from customer c left join (select o_custkey, min(o_orderpriority) as r from orders group by 1) n on n.o_custkey = c.c_custkey")
