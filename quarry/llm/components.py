@@ -49,4 +49,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         n, most, settled = state(links)
     else:
         raise RuntimeError("components did not settle")
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    out = links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    out._materialized = links._materialized  # what ``discard`` deletes once the result has been used
+    return out
