@@ -109,6 +109,23 @@ _sql("sql_outer_joins", "SELECT n.n_name, COUNT(s.s_suppkey) AS n_suppliers, COU
 _sql("sql_window_functions", "SELECT s_suppkey, RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place, CAST(LAG(s_suppkey) OVER (ORDER BY s_suppkey) AS BIGINT) AS before, LEAD(s_suppkey, 2) OVER (ORDER BY s_suppkey) AS after, NTILE(4) OVER (ORDER BY s_suppkey) AS quarter, ROUND(SUM(s_acctbal) OVER (ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM supplier", "SELECT s_suppkey, CAST(RANK() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS place, CAST(LAG(s_suppkey) OVER (ORDER BY s_suppkey) AS BIGINT) AS before, LEAD(s_suppkey, 2) OVER (ORDER BY s_suppkey) AS after, CAST(NTILE(4) OVER (ORDER BY s_suppkey) AS INTEGER) AS quarter, ROUND(SUM(s_acctbal) OVER (ORDER BY s_suppkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS running FROM supplier")
 _sql("sql_aggregates", "SELECT event_type, MIN(value) AS lo, MAX(value) AS hi, ROUND(AVG(value), 6) AS mean, ROUND(TOTAL(value), 4) AS total, COUNT(DISTINCT user_id) AS n_users, ROUND(MAX(value * 2), 6) AS doubled, MAX(0, MIN(1, 2)) AS one FROM events GROUP BY event_type", "SELECT event_type, MIN(value) AS lo, MAX(value) AS hi, ROUND(AVG(value), 6) AS mean, ROUND(coalesce(SUM(value), 0), 4) AS total, COUNT(DISTINCT user_id) AS n_users, ROUND(MAX(value * 2), 6) AS doubled, greatest(0, least(1, 2)) AS one FROM events GROUP BY event_type")
 _sql("sql_group_concat", "SELECT n_regionkey, GROUP_CONCAT(n_name, '|') AS names FROM (SELECT * FROM nation WHERE n_nationkey < 5) AS t GROUP BY n_regionkey HAVING COUNT(*) = 1", "SELECT n_regionkey, string_agg(n_name, '|') AS names FROM nation WHERE n_nationkey < 5 GROUP BY n_regionkey HAVING COUNT(*) = 1")
+_sql(
+    "sql_concat_rows",
+    "SELECT n_regionkey, LENGTH(GROUP_CONCAT(n_name, ' | ')) AS n_chars, GROUP_CONCAT(DISTINCT n_regionkey) AS regions, COUNT(*) FILTER (WHERE n_nationkey > 9) AS n_late FROM nation GROUP BY n_regionkey",
+    "SELECT n_regionkey, length(string_agg(n_name, ' | ')) AS n_chars, CAST(n_regionkey AS VARCHAR) AS regions, COUNT(*) FILTER (WHERE n_nationkey > 9) AS n_late FROM nation GROUP BY n_regionkey",
+)
+_sql("sql_natural_join", "SELECT n_name, n_customers FROM (SELECT n_nationkey AS k, n_name FROM nation) AS a NATURAL JOIN (SELECT c_nationkey AS k, COUNT(*) AS n_customers FROM customer GROUP BY c_nationkey) AS b")
+_sql("sql_range_frame", "SELECT s_suppkey, COUNT(*) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal RANGE BETWEEN 500 PRECEDING AND 100 FOLLOWING) AS n_near FROM supplier")
+_sql(
+    "sql_datetime",
+    "SELECT o_orderkey, DATETIME(o_orderdate, '+36 hours', '-90 minutes') AS later, DATE(o_orderdate, 'start of month', '+1 month', '-1 day') AS month_end, STRFTIME('%w', o_orderdate) AS day_of_week, STRFTIME('%W', o_orderdate) AS week, STRFTIME('%d.%m.%Y at %H:%M', o_orderdate) AS said FROM orders",
+    "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 36 HOUR - INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS later, strftime(last_day(o_orderdate), '%Y-%m-%d') AS month_end, CAST(dayofweek(o_orderdate) AS VARCHAR) AS day_of_week, strftime(o_orderdate, '%W') AS week, strftime(o_orderdate, '%d.%m.%Y at %H:%M') AS said FROM orders",
+)
+_sql(
+    "sql_printf_json",
+    "SELECT event_id, PRINTF('%05d|%s|%.1f%%', user_id, event_type, 12.5) AS said, JSON_EXTRACT('{\"a\": {\"b\": [7, 8]}}', '$.a.b[1]') AS item, CAST('1e3' AS INTEGER) AS one FROM events",
+    "SELECT event_id, printf('%05d|%s|%.1f%%', user_id, event_type, 12.5) AS said, '8' AS item, CAST(1 AS BIGINT) AS one FROM events",
+)
 _sql("sql_grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_recursive_cte", "WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 12) SELECT n, (SELECT COUNT(*) FROM nation) AS n_nations FROM up")
 _sql("sql_functions", "SELECT p_partkey, IFNULL(NULLIF(SUBSTR(p_name, 1, 4), 'blue'), 'none') AS head, INSTR(p_name, 'e') AS place, IIF(p_size > 25, 'large', 'small') AS kind, ROUND(JULIANDAY('2024-03-01') - JULIANDAY('2024-02-01'), 1) AS days, CAST('12abc' AS INTEGER) AS number, CAST('abc' AS REAL) AS zero, p_name || '/' || p_type AS joined FROM part", "SELECT p_partkey, IFNULL(NULLIF(SUBSTR(p_name, 1, 4), 'blue'), 'none') AS head, CAST(INSTR(p_name, 'e') AS INTEGER) AS place, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind, CAST(29.0 AS DOUBLE) AS days, CAST(12 AS BIGINT) AS number, CAST(0.0 AS DOUBLE) AS zero, p_name || '/' || p_type AS joined FROM part")

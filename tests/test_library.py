@@ -82,6 +82,8 @@ def test_parsers_refuse(name, text):
         ("SELECT 7/2", 3), ("SELECT -7/2", -3), ("SELECT 7.0/2", 3.5), ("SELECT 1/0", None), ("SELECT 2*7/4", 3), ("SELECT (1+6)/(1+1)", 3), ("SELECT 'ABC' LIKE 'abc'", True), ("SELECT 'a/b'", "a/b"),
         ("SELECT CAST('12abc' AS INTEGER)", 12), ("SELECT CAST('x' AS REAL)", 0.0), ("SELECT CAST(NULL AS REAL)", None), ("SELECT STRFTIME('%Y-%m', '2024-02-29')", "2024-02"), ("SELECT STRFTIME('%Y', 'no date')", None),
         ("SELECT date('2024-02-29', '-1 years')", "2023-03-01"), ("SELECT date('2024-01-31', '+1 month')", "2024-03-02"), ("SELECT date('2024-03-01', '-1 day')", "2024-02-29"), ("SELECT date('2024-05-17', 'start of month')", "2024-05-01"),
+        ("SELECT datetime('2024-01-31 10:00:00', '+1 month')", "2024-03-02 10:00:00"), ("SELECT date('2024-05-15', 'weekday 0')", "2024-05-19"), ("SELECT strftime('it''s %Y-%q', '2024-01-01')", None), ("SELECT strftime('it''s %Y', '2024-01-01')", "it's 2024"),
+        ("SELECT printf('%d items %s', 3.7, NULL)", "3 items "), ("SELECT CAST('9007199254740993' AS INTEGER)", 9007199254740993), ("SELECT CAST('1e3' AS INTEGER)", 1), ("SELECT json_extract('{\"a\": [1, 2]}', '$.a[1]')", "2"),
         ('SELECT "text"', "text"), ("SELECT max(1, 3, 2)", 3), ("SELECT IIF(1 < 2, 'a', 'b')", "a"), ("SELECT 1 -- a / b\n + 1", 2), ("SELECT SUM(x > 1) FROM (SELECT 1 AS x UNION ALL SELECT 2)", 1), ("SELECT 'it''s'", "it's"),
     ],
 )
