@@ -10,11 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType
 
 NGRAM = 3
 PERMUTATIONS = 100
 DIMENSIONS = 64
+#: Modulus of the slots' permutations; products with 28-bit hashes stay within 63 bits.
+PRIME = 2**31 - 1
 
 
 def ngrams(c: Column, n: int = NGRAM) -> Column:
@@ -28,10 +30,40 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) > 0, F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+def slot_parameters(slots: int = PERMUTATIONS) -> list[tuple[int, int]]:
+    """Multiplier and addend of each slot's permutation of the gram hashes, modulo ``PRIME``: powers of two generators."""
+    return [(pow(48271, k + 1, PRIME), pow(69621, k + 1, PRIME)) for k in range(slots)]
+
+
+def gram_hash(gram: Column) -> Column:
+    """28 bits of the gram's MD5: a hash that any SQL engine has."""
+    return F.conv(F.substr(F.md5(gram), F.lit(1), F.lit(7)), 16, 10).cast("long")
+
+
 def signature(grams: Column, slots: int = PERMUTATIONS) -> Column:
-    """The MinHash signature: in each slot the least seeded hash of the grams; empty for no grams."""
-    made = F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda k: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, k))))
-    return F.when(F.size(grams) > 0, made).otherwise(F.array().cast("array<bigint>"))
+    """The MinHash signature: in each slot the least permuted hash of the grams; empty for no grams.
+
+    Each gram is hashed once, in the JVM; a batch then derives one slot of all its rows at a time, so its memory is a few
+    numbers a gram, however long the texts are.
+    """
+    parameters = slot_parameters(slots)
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def minima(hashes: pd.Series) -> pd.Series:
+        sizes = hashes.map(lambda h: 0 if h is None else len(h)).to_numpy()
+        full = np.flatnonzero(sizes)
+        out = np.empty((len(full), slots), dtype=np.int64)
+        if len(full):
+            flat = np.concatenate([np.asarray(hashes.iloc[i], dtype=np.int64) for i in full])
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            for k, (a, b) in enumerate(parameters):
+                out[:, k] = np.minimum.reduceat((flat * a + b) % PRIME, starts)
+        made = [np.empty(0, dtype=np.int64)] * len(hashes)
+        for row, i in enumerate(full):
+            made[i] = out[row]
+        return pd.Series(made, index=hashes.index, dtype=object)
+
+    return minima.asNondeterministic()(F.transform(grams, gram_hash))  # so that no filter over the column runs it again
 
 
 def estimated_jaccard(a: Column, b: Column) -> Column:

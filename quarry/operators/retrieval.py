@@ -55,10 +55,20 @@ def embedding_filter(found: DataFrame, least: float = EMBEDDING_LEAST) -> DataFr
     return found.withColumn("embedding_similarity", T.dot(T.embedding("substring"), T.embedding("value"))).where(F.col("embedding_similarity") >= least)
 
 
-def near_the_best(found: DataFrame, score: str, group: list[str], share: float = RELATIVE_LEAST) -> DataFrame:
-    """Rows whose score is at least a share of the best of their group."""
-    best = F.max(score).over(Window.partitionBy(*group))
-    return found.withColumn("_best", best).where(F.col(score) >= F.lit(share) * F.col("_best")).drop("_best")
+def near_the_best(found: DataFrame, score: str, group: list[str], share: float = RELATIVE_LEAST, small: bool = False) -> DataFrame:
+    """Rows whose score is at least a share of the best of their group; a null in the group's columns is a group too.
+
+    The groups' maxima are aggregated first and joined back, so rows of a large group need not meet in a task. ``small``:
+    the rows are few and dear to compute; a window sees them once.
+    """
+    if small:
+        best = F.max(score).over(Window.partitionBy(*group))
+        return found.withColumn("_best", best).where(F.col(score) >= F.lit(share) * F.col("_best")).drop("_best")
+    best = found.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.max(score).alias("_best"))
+    met = F.col(score) >= F.lit(share) * F.col("_best")
+    for c in group:
+        met = met & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return found.join(best, met, "left_semi")
 
 
 def similar_entities(keywords: DataFrame, values: DataFrame, top: int = 10) -> DataFrame:
@@ -71,7 +81,7 @@ def similar_entities(keywords: DataFrame, values: DataFrame, top: int = 10) -> D
     met = found.join(packets, "substring")
     close = embedding_filter(edit_filter(met))
     group = ["table", "column"]
-    kept = near_the_best(near_the_best(close, "edit_similarity", group), "embedding_similarity", group)
+    kept = near_the_best(near_the_best(close, "edit_similarity", group, small=True), "embedding_similarity", group, small=True)
     return kept.select("keyword", "substring", "table", "column", "value", F.round("jaccard", 6).alias("jaccard"), F.round("edit_similarity", 6).alias("edit_similarity"), F.round("embedding_similarity", 6).alias("embedding_similarity"))
 
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.bounds import MOST_SMALL
 from quarry.operators.profile import eligible
 from quarry.sources.catalog import Catalog
 
 TOP = 10
-BANDS = 50
 
 
 def unique_values(catalog: Catalog, columns: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -28,9 +28,13 @@ def signatures(values: DataFrame, slots: int = T.PERMUTATIONS, n: int = T.NGRAM)
 
 
 def write_index(values: DataFrame, path: str, slots: int = T.PERMUTATIONS, n: int = T.NGRAM) -> None:
-    """Values with grams and signatures, clustered by table and column so that lookups of one column read little."""
-    made = values.withColumn("grams", T.ngrams(F.col("value"), n)).withColumn("signature", T.signature(F.col("grams"), slots))
-    made.repartition("table", "column").write.mode("overwrite").parquet(path)
+    """Values with grams and signatures, sorted by table and column so that lookups of one column read little.
+
+    Ranges end inside a column too, so a column with most of the values is dealt to many tasks.
+    """
+    dealt = values.repartitionByRange("table", "column", F.xxhash64("value")).sortWithinPartitions("table", "column")
+    made = dealt.withColumn("grams", T.ngrams(F.col("value"), n)).withColumn("signature", T.signature(F.col("grams"), slots))
+    made.write.mode("overwrite").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -57,18 +61,18 @@ def jaccard_top(values: DataFrame, keywords: DataFrame, top: int = TOP, n: int =
     return _top(scored, "jaccard", top).select("keyword", "table", "column", "value", "jaccard", "rank")
 
 
-def signature_top(signed: DataFrame, keywords: DataFrame, top: int = TOP, bands: int = BANDS, slots: int = T.PERMUTATIONS, n: int = T.NGRAM) -> DataFrame:
-    """The same by signatures: candidates share a band, the estimate is the share of equal slots."""
-    rows = slots // bands
+def signature_top(signed: DataFrame, keywords: DataFrame, top: int = TOP, slots: int = T.PERMUTATIONS, n: int = T.NGRAM) -> DataFrame:
+    """The same by signatures: every value that shares a slot with a keyword is a candidate, the share of equal slots is the estimate.
 
-    def banded(frame: DataFrame, column: str) -> DataFrame:
-        band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(column, b * rows + 1, rows)).alias("key")))
-        return frame.where(F.size(column) > 0).withColumn("_b", F.explode(band)).withColumn("_band", F.col("_b.band")).withColumn("_key", F.col("_b.key")).drop("_b")
-
-    index = banded(signed, "signature")
-    asked = banded(keywords.select("keyword").distinct().withColumn("_asked", T.signature(T.ngrams(F.col("keyword"), n), slots)), "_asked")
-    met = index.join(asked, ["_band", "_key"]).groupBy("keyword", "table", "column", "value").agg(F.any_value("signature").alias("signature"), F.any_value("_asked").alias("_asked"))
-    return _top(met.withColumn("estimate", T.estimated_jaccard(F.col("signature"), F.col("_asked"))), "estimate", top).select("keyword", "table", "column", "value", "estimate", "rank")
+    As each slot is a band of its own, the matches of the join count the equal slots, and no signature travels.
+    """
+    asked = keywords.select("keyword").distinct().withColumn("_asked", T.signature(T.ngrams(F.col("keyword"), n), slots))
+    asked = asked.select("keyword", F.posexplode("_asked").alias("_slot", "_key"))
+    if keywords.limit(MOST_SMALL // slots + 1).count() <= MOST_SMALL // slots:
+        asked = F.broadcast(asked)  # then the index stays where it is
+    index = signed.select("table", "column", "value", F.posexplode("signature").alias("_slot", "_key"))
+    met = index.join(asked, ["_slot", "_key"]).groupBy("keyword", "table", "column", "value").agg((F.count("*") / slots).alias("estimate"))
+    return _top(met, "estimate", top).select("keyword", "table", "column", "value", "estimate", "rank")
 
 
 def by_column(found: DataFrame, score: str = "jaccard") -> DataFrame:

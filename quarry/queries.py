@@ -226,7 +226,21 @@ def ngram_jaccard_topk(spark, sf_dir):
     return values.jaccard_top(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS), _keywords(spark))
 
 
-@query()
+_SLOTS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(T.slot_parameters()))
+
+
+def _signed(names: str, source: str, text: str) -> str:
+    """SQL of the signature's slots of a text column: names, slot, key."""
+    hashed = f"select {names}, unnest(list_transform({_GRAMS.format(text)}, lambda g: cast('0x' || substr(md5(g), 1, 7) as bigint))) as h from ({source})"
+    return f"select {names}, slot, min((h * a + b) % {T.PRIME}) as key from ({hashed}), p group by all"
+
+
+@query(f"""
+with p as (select slot, cast(a as bigint) as a, cast(b as bigint) as b from (values {_SLOTS}) t(slot, a, b)),
+v as ({_signed('"table", "column", value', f"select distinct * from ({_pairs(SHORT_COLUMNS)})", "value")}),
+k as ({_signed("keyword", f"select * from (values {_keyword_values()}) t(keyword)", "keyword")}),
+s as (select keyword, "table", "column", value, count(*) / {T.PERMUTATIONS} as estimate from v join k using (slot, key) group by all)
+select * from (select *, cast(row_number() over (partition by keyword order by estimate desc, "table", "column", value) as integer) as rank from s) where rank <= 10""")
 def minhash_topk(spark, sf_dir):
     return values.signature_top(values.signatures(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS)), _keywords(spark))
 
