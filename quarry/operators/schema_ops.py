@@ -153,10 +153,10 @@ def _filled(schema: DataFrame) -> DataFrame:
     return schema
 
 
-def render_tables(schema: DataFrame, edges: DataFrame, include_values: bool = True, include_statics: bool = False, seed: int | None = None) -> DataFrame:
+def render_tables(schema: DataFrame, edges: DataFrame, include_values: bool = True, include_statics: bool = False, seed: int | None = None, unique: DataFrame | None = None) -> DataFrame:
     """table, ddl: a CREATE TABLE text for each table with its columns' comments and its keys to tables of the schema.
 
-    With a seed, tables keep their names but columns come in a shuffled order.
+    ``unique``: table, columns of unique keys; those whose columns are all in the schema are shown. With a seed, tables keep their names but columns come in a shuffled order.
     """
     schema = _filled(schema)
     order = F.col("ordinal").cast("long") if seed is None else F.xxhash64(F.lit(seed), "table", "column")
@@ -173,6 +173,13 @@ def render_tables(schema: DataFrame, edges: DataFrame, include_values: bool = Tr
     foreign = inside.groupBy(F.lower("src_table").alias("_s")).agg(F.array_sort(F.collect_set(reference)).alias("foreign"))
     key_line = F.when(F.size("keys") > 0, F.array(F.concat(F.lit("    PRIMARY KEY ("), F.array_join("keys", ", "), F.lit("),")))).otherwise(F.array().cast("array<string>"))
     full = body.join(foreign, F.lower("table") == F.col("_s"), "left").withColumn("all", F.concat("lines", key_line, F.coalesce("foreign", F.array().cast("array<string>"))))
+    if unique is not None:
+        told = unique.select(F.lower("table").alias("_u"), F.col("columns").alias("_key")).distinct()
+        have = schema.groupBy(F.lower("table").alias("_u")).agg(F.collect_set(F.lower("column")).alias("_have"))
+        shown = told.join(have, "_u").where(F.size(F.array_except(F.transform("_key", F.lower), "_have")) == 0)
+        named = F.concat(F.lit("    UNIQUE (`"), F.array_join("_key", "`, `"), F.lit("`),"))
+        full = full.join(shown.groupBy("_u").agg(F.array_sort(F.collect_list(named)).alias("_unique")), F.lower("table") == F.col("_u"), "left")
+        full = full.withColumn("all", F.concat("all", F.coalesce("_unique", F.array().cast("array<string>"))))
     text = F.concat(F.lit("CREATE TABLE `"), F.col("table"), F.lit("` (\n"), F.array_join("all", "\n"), F.lit("\n);"))
     return full.select("table", text.alias("ddl"))
 

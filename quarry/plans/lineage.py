@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators.bounds import blocks_joined
 
 _COMPARISONS = ("EqualTo", "EqualNullSafe", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual", "Like", "ILike", "In", "StartsWith", "EndsWith", "Contains")
 
@@ -99,3 +102,28 @@ def lineage_of(spark: SparkSession, queries: list[str]) -> dict[str, list[str]]:
         except Exception:  # noqa: BLE001  a failing query has no lineage
             continue
     return {t: sorted(c) for t, c in out.items()}
+
+
+def literals_found(catalog, literals: DataFrame) -> DataFrame:
+    """``literals``: table, column, literal of conditions. Adds found: whether any row of the column is the literal, and
+    found_anyhow: whether one is but for case and outer spaces. Literals of unknown columns, and nulls, are not found.
+
+    One scan a column, which keeps only the column; the literals are those of a few queries.
+    """
+    asked = literals.select("table", "column", "literal").distinct()
+    places = {(t.lower(), c.lower()): (t, c) for t, c, *_ in catalog.types}
+    met = None
+    for t, c in sorted({(r[0], r[1]) for r in asked.select("table", "column").distinct().collect() if r[0] and r[1]}):  # names in queries
+        if (at := places.get((t.lower(), c.lower()))) is None:
+            continue
+        own = asked.where((F.col("table") == t) & (F.col("column") == c) & F.col("literal").isNotNull())
+        value = F.col(f"`{at[1]}`").cast("string")
+        rows = catalog.table(at[0]).select(value.alias("_value")).where("_value is not null")
+        one = blocks_joined(rows, own, F.lower(F.trim("_value")) == F.lower(F.trim("literal"))).groupBy("table", "column", "literal").agg(F.max(F.col("_value") == F.col("literal")).alias("found"))
+        met = one if met is None else met.unionByName(one)
+    if met is None:
+        return literals.withColumn("found", F.lit(False)).withColumn("found_anyhow", F.lit(False))
+    back = met.select(*[F.col(c).alias(f"_{c}") for c in ("table", "column", "literal")], F.col("found").alias("_found"))
+    on = (F.col("table") == F.col("_table")) & (F.col("column") == F.col("_column")) & (F.col("literal") == F.col("_literal"))
+    joined = literals.join(back, on, "left").withColumn("found", F.coalesce("_found", F.lit(False))).withColumn("found_anyhow", F.col("_found").isNotNull())
+    return joined.drop("_table", "_column", "_literal", "_found")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.functions.parsers import ParseError, get_parser
 
@@ -87,8 +89,31 @@ def call(engine: Engine, prompt: str, parser: str | None = None, attempts: int =
     raise error or ParseError("no answer")
 
 
-def ask(requests: DataFrame, engine: Engine, attempts: int = 3) -> DataFrame:
-    """``requests``: request_id long, prompt string. Adds answer; a failed call gives null. Calls run where the rows lie."""
+def call_all(engine: Engine, prompts: list[str], parser: str | None = None, attempts: int = 12, spare: Engine | None = None, threads: int = 8) -> list[Any]:
+    """The parsed answers in order of the prompts, several calls at a time; a call that fails gives its exception, the others stand."""
+
+    def one(prompt: str) -> Any:
+        try:
+            return call(engine, prompt, parser, attempts, spare)
+        except Exception as e:  # noqa: BLE001  the caller sees which calls failed
+            return e
+
+    if len(prompts) < 2:
+        return [one(p) for p in prompts]
+    with ThreadPoolExecutor(min(threads, len(prompts))) as pool:
+        return list(pool.map(one, prompts))
+
+
+def ask(requests: DataFrame, engine: Engine, attempts: int = 3, samples: int | None = None) -> DataFrame:
+    """``requests``: request_id long, prompt string. Adds answer; a failed call gives null. Calls run where the rows lie.
+
+    With ``samples``, each request is asked so many times; a column sample (from 0) tells its answers apart.
+    """
+    asked = requests.select("request_id", "prompt")
+    kept, schema = ["request_id", "prompt", "answer"], "request_id long, prompt string, answer string"
+    if samples is not None:
+        asked = asked.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)) if samples > 0 else F.array().cast("array<int>")))
+        kept, schema = ["request_id", "sample", "prompt", "answer"], "request_id long, sample int, prompt string, answer string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -102,6 +127,6 @@ def ask(requests: DataFrame, engine: Engine, attempts: int = 3) -> DataFrame:
                     except Exception:  # noqa: BLE001  a remote call may fail; the row says so by its null
                         continue
                 answers.append(got)
-            yield batch.assign(answer=answers)[["request_id", "prompt", "answer"]]
+            yield batch.assign(answer=answers)[kept]
 
-    return requests.select("request_id", "prompt").mapInPandas(run, "request_id long, prompt string, answer string")
+    return asked.mapInPandas(run, schema)

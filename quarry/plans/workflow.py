@@ -5,8 +5,10 @@ Model calls go through providers; everything else is frames and SQL. A stage tha
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -19,7 +21,7 @@ from quarry.operators import vectors as V
 from quarry.operators.values import unique_values
 from quarry.plans import sqlrun
 from quarry.plans.lineage import lineage, lineage_of
-from quarry.plans.providers import Engine, KeywordRules, call
+from quarry.plans.providers import Engine, KeywordRules, call, call_all
 from quarry.sources.catalog import Catalog
 
 # Short prompts of our own; a caller may give others with the same variables.
@@ -86,17 +88,24 @@ class Engineered:
         self._value_columns = value_columns
         self._values: DataFrame | None = None
         self._documents: DataFrame | None = None
+        self._making = threading.RLock()
+        #: Outcomes of candidate queries by their text: stages and questions that meet a text again do not run it again.
+        self.executed: dict[str, tuple] = {}
+        #: (prompt's name, prompt, answer or error) of all calls.
+        self.conversations: list[tuple[str, str, str]] = []
 
     @property
     def values(self) -> DataFrame:
-        if self._values is None:
-            self._values = unique_values(self.catalog, self._value_columns).cache()
+        with self._making:
+            if self._values is None:
+                self._values = unique_values(self.catalog, self._value_columns).cache()
         return self._values
 
     @property
     def documents(self) -> DataFrame | None:
-        if self._documents is None and self.descriptions is not None:
-            self._documents = V.embedded(V.catalog_documents(self.descriptions)).cache()
+        with self._making:
+            if self._documents is None and self.descriptions is not None:
+                self._documents = V.embedded(V.catalog_documents(self.descriptions)).cache()
         return self._documents
 
     def schema_text(self, state: State) -> str:
@@ -104,9 +113,23 @@ class Engineered:
         return schema_ops.schema_string(schema_ops.render_tables(schema, self.catalog.edges())).first()[0]
 
     def ask(self, prompt: str, parser: str, **values: object) -> Any:
-        if self.engine is None:
+        got = self.ask_all(prompt, parser, [values])[0]
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    def ask_all(self, prompt: str, parser: str, values: list[dict[str, object]], engine: Engine | None = None) -> list[Any]:
+        """Parsed answers to a prompt filled in several ways, asked at once; a failed call's place holds its exception."""
+        engine = engine or self.engine
+        if engine is None:
             raise ValueError("this stage asks a model: give an engine")
-        return call(self.engine, fill(self.prompts[prompt], **values), parser)
+        filled = [fill(self.prompts[prompt], **v) for v in values]
+        answers = call_all(engine, filled, parser)
+        self.conversations += [(prompt, asked, str(got)) for asked, got in zip(filled, answers, strict=True)]
+        return answers
+
+    def execute(self, question_id: int, candidates: list[Candidate]) -> DataFrame:
+        return sqlrun.execute_all(self.spark, [(question_id, i, c.sql) for i, c in enumerate(candidates)], known=self.executed)
 
 
 class Stage:
@@ -164,9 +187,13 @@ class FilterColumn(Stage):
     def run(self, db, state):
         schema = schema_ops.assembled(db.catalog, schema_ops.from_map(db.spark, state.working), state.examples, state.descriptions)
         kept: dict[str, list[str]] = {t: [] for t in state.working}
-        for r in schema_ops.column_profiles(schema, db.catalog.edges()).orderBy("table", "column").collect():  # metadata
-            got = db.ask("filter_column", "json", PROFILE=r["profile"], QUESTION=state.task.question, HINT=state.task.evidence)
-            if str(got.get("is_column_information_relevant", "")).lower() == "yes":
+        profiles = schema_ops.column_profiles(schema, db.catalog.edges()).orderBy("table", "column").collect()  # metadata
+        answers = db.ask_all("filter_column", "json", [{"PROFILE": r["profile"], "QUESTION": state.task.question, "HINT": state.task.evidence} for r in profiles])
+        failed = [a for a in answers if isinstance(a, Exception)]
+        if failed and len(failed) == len(answers):
+            raise failed[0]
+        for r, got in zip(profiles, answers, strict=True):  # a column nobody could judge stays
+            if isinstance(got, Exception) or str(got.get("is_column_information_relevant", "")).lower() == "yes":
                 kept[r["table"]].append(r["column"])
         closed = schema_ops.closure(db.catalog.columns(), db.catalog.edges(), schema_ops.from_tables(db.spark, list(kept)).selectExpr("table", "cast(null as string) as column").unionByName(schema_ops.from_map(db.spark, kept)) if any(kept.values()) else schema_ops.from_map(db.spark, state.working))
         state.working = {t: sorted(set(kept[t]) | set(schema_ops.to_map(closed).get(t, []))) for t in kept}
@@ -206,16 +233,25 @@ class SelectColumns(Stage):
 
 @dataclass
 class GenerateCandidate(Stage):
+    """``engines``: generators that each give ``samples`` candidates; the database's own engine if none. A sample that fails is
+    left out; the stage fails only if all do."""
+
     samples: int = 1
     propose: Callable[[Task], list[str]] | None = None
+    engines: tuple[Engine, ...] = ()
 
     def run(self, db, state):
         if self.propose is not None:
             made = [Candidate(s) for s in self.propose(state.task)]
         else:
-            schema = db.schema_text(state)
-            answers = [db.ask("candidate", "sql_with_plan", SCHEMA=schema, QUESTION=state.task.question, HINT=state.task.evidence) for _ in range(self.samples)]
-            made = [Candidate(a["SQL"], a["plan"]) for a in answers]
+            filled = {"SCHEMA": db.schema_text(state), "QUESTION": state.task.question, "HINT": state.task.evidence}
+            answers = [a for engine in self.engines or (None,) for a in db.ask_all("candidate", "sql_with_plan", [filled] * self.samples, engine)]
+            failed = [a for a in answers if isinstance(a, Exception)]
+            if failed and len(failed) == len(answers):
+                raise failed[0]
+            made = [Candidate(a["SQL"], a["plan"]) for a in answers if not isinstance(a, Exception)]
+            state.candidates[self.name] = made
+            return {"candidates": [c.sql for c in made]} | ({"failed_samples": [f"{type(a).__name__}: {a}" for a in failed]} if failed else {})
         state.candidates[self.name] = made
         return {"candidates": [c.sql for c in made]}
 
@@ -245,7 +281,7 @@ class GenerateUnitTest(Stage):
     count: int = 5
 
     def run(self, db, state):
-        executed = sqlrun.execute_all(db.spark, [(state.task.question_id, i, c.sql) for i, c in enumerate(state.latest)])
+        executed = db.execute(state.task.question_id, state.latest)
         if len(state.latest) <= 1 or R.clusters(executed, False).select("cluster").distinct().count() <= 1:
             return {"unit_tests": []}
         got = db.ask("unit_tests", "answer_list", COUNT=self.count, SCHEMA=db.schema_text(state), QUESTION=state.task.question, HINT=state.task.evidence, CANDIDATES=_listed(db, state.latest))
@@ -256,13 +292,15 @@ class GenerateUnitTest(Stage):
 class Evaluate(Stage):
     def run(self, db, state):
         candidates = state.latest
-        executed = sqlrun.execute_all(db.spark, [(state.task.question_id, i, c.sql) for i, c in enumerate(candidates)])
+        executed = db.execute(state.task.question_id, candidates)
         if not state.unit_tests or len(candidates) <= 1:
             best = candidates[0].sql if len(candidates) == 1 else R.majority_vote(executed).first()["sql"]
         else:
             rows = []
-            for k, test in enumerate(state.unit_tests):
-                verdicts = db.ask("evaluate", "verdicts", SCHEMA=db.schema_text(state), QUESTION=state.task.question, TEST=test, CANDIDATES=_listed(db, candidates))
+            filled = {"SCHEMA": db.schema_text(state), "QUESTION": state.task.question, "CANDIDATES": _listed(db, candidates)}
+            for k, verdicts in enumerate(db.ask_all("evaluate", "verdicts", [filled | {"TEST": t} for t in state.unit_tests])):
+                if isinstance(verdicts, Exception):
+                    raise verdicts
                 verdicts = (verdicts + [0] * len(candidates))[: len(candidates)]
                 for i, v in enumerate(verdicts):
                     candidates[i].evaluations.append(v)
@@ -288,17 +326,32 @@ def evaluate_stages(db: Engineered, state: State, timeout: float = 30) -> list[t
 EVALUATED = "question_id long, db_id string, stage_ord int, stage string, sql string, exec_res int, exec_err string"
 
 
-def run_tasks(db: Engineered, tasks: list[Task], stages: list[Stage]) -> tuple[DataFrame, list[State]]:
-    """Runs the stages over every task; returns the evaluation of all stages as a frame, and the states."""
-    rows, states = [], []
-    for task in tasks:
+def run_tasks(db: Engineered, tasks: list[Task], stages: list[Stage], threads: int = 4, finished: set[tuple[str, int]] = frozenset(), on_done: Callable[[State, list[tuple]], None] | None = None) -> tuple[DataFrame, list[State]]:
+    """Runs the stages over every task; returns the evaluation of all stages as a frame, and the states, in order of the tasks.
+
+    ``threads`` questions run at a time: their stages wait for models and small jobs, which the session runs side by side.
+    ``finished``: (db_id, question_id) of tasks that an earlier run has done and that are passed over. ``on_done`` gets each
+    task's state and evaluation as soon as it ends, one call at a time, so a run that breaks off has kept what it did.
+    """
+    told = threading.Lock()
+
+    def one(task: Task) -> tuple[State, list[tuple]]:
         state = State(task, db.catalog.schema_map())
         for stage in stages:
             stage(db, state)
-        if task.SQL:
-            rows += evaluate_stages(db, state)
-        states.append(state)
-    return db.spark.createDataFrame(rows, EVALUATED), states
+        rows = evaluate_stages(db, state) if task.SQL else []
+        if on_done is not None:
+            with told:
+                on_done(state, rows)
+        return state, rows
+
+    left = [t for t in tasks if (t.db_id, t.question_id) not in finished]
+    if threads > 1 and len(left) > 1:
+        with ThreadPoolExecutor(min(threads, len(left))) as pool:
+            done = list(pool.map(one, left))
+    else:
+        done = [one(t) for t in left]
+    return db.spark.createDataFrame([r for _, rows in done for r in rows], EVALUATED), [s for s, _ in done]
 
 
 def history_frame(spark: SparkSession, states: list[State]) -> DataFrame:
@@ -309,6 +362,11 @@ def history_frame(spark: SparkSession, states: list[State]) -> DataFrame:
     return spark.createDataFrame(made, "question_id long, db_id string, step int, tool_name string, status string, seconds double, payload string")
 
 
+def conversation_frame(db: Engineered) -> DataFrame:
+    """template, prompt, answer of all calls so far, as parsed."""
+    return db.spark.createDataFrame(db.conversations, "template string, prompt string, answer string")
+
+
 def schema_for_queries(db: Engineered, queries: list[str]) -> dict[str, list[str]]:
     """The canonical schema that a set of queries reads."""
     own = lineage_of(db.spark, [sqlrun.bridge(q) for q in queries])

@@ -14,7 +14,7 @@ from quarry.plans import lineage as L
 from quarry.plans import sqlrun
 from quarry.plans.dialect import bridge
 from quarry.sources import files
-from quarry.sources.catalog import STAR, Catalog
+from quarry.sources.catalog import STAR, TABLES, Catalog
 from quarry.streaming.tables import event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,7 +139,13 @@ def sql_pricing_summary(spark, sf_dir):
 
 
 # --- catalog and profiles --------------------------------------------------------------------------------------------------
-@query()
+# Spark's names of DuckDB's types; the tables have no others.
+_TYPES = "case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'SMALLINT' then 'smallint' when 'TINYINT' then 'tinyint' when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'FLOAT' then 'float' when 'BOOLEAN' then 'boolean' when 'DATE' then 'date' when 'TIMESTAMP' then 'timestamp_ntz' when 'TIMESTAMP WITH TIME ZONE' then 'timestamp' when 'FLOAT[]' then 'array<float>' when 'DOUBLE[]' then 'array<double>' else data_type end"
+_KEYS = "(values " + ", ".join(f"('{t}', '{c}')" for t, key in STAR.primary.items() for c in key) + ") k(t, c)"
+_COLUMNS = f"select table_name as \"table\", column_name as \"column\", cast(ordinal_position - 1 as integer) as ordinal, {_TYPES} as type, k.c is not null as is_primary from information_schema.columns left join {_KEYS} on k.t = table_name and k.c = column_name where table_name in ({', '.join(repr(t) for t in TABLES)})"
+
+
+@query(_COLUMNS)
 def catalog_columns(spark, sf_dir):
     return catalog(spark, sf_dir).columns()
 
@@ -149,7 +155,13 @@ def fk_integrity(spark, sf_dir):
     return catalog(spark, sf_dir).orphans()
 
 
-@query()
+_KEY_LINES = " union all ".join(
+    [f"select '{t}' as \"table\", 1000 as ordinal, 'PRIMARY KEY ({', '.join(f'`{c}`' for c in key)})' as line" for t, key in STAR.primary.items()]
+    + [f"select '{s}', {1001 + i}, 'FOREIGN KEY (`{c}`) REFERENCES `{d}` (`{k}`)'" for i, (s, c, d, k) in enumerate(STAR.foreign)]
+)
+
+
+@query(f"select \"table\", 'CREATE TABLE `' || \"table\" || '` (' || chr(10) || string_agg('    ' || line, ',' || chr(10) order by ordinal) || chr(10) || ')' as ddl from (select \"table\", ordinal, '`' || \"column\" || '` ' || upper(type) as line from ({_COLUMNS}) union all {_KEY_LINES}) group by \"table\"")
 def table_ddl(spark, sf_dir):
     return catalog(spark, sf_dir).ddl_frame()
 
@@ -423,6 +435,20 @@ def condition_literals(spark, sf_dir):
     return spark.createDataFrame([(i, t, c, v) for i, own in enumerate(_lineages(spark, sf_dir)) for t, c, _, v in own.literals], "query int, table string, column string, literal string")
 
 
+_LITERALS = [("customer", "c_mktsegment", "BUILDING"), ("customer", "c_mktsegment", " building "), ("CUSTOMER", "C_Name", "Customer#000000007"), ("orders", "o_orderpriority", "9-NEVER"), ("nation", "n_nationkey", "7"), ("nation", "nothing", "7")]
+
+
+def _found(t: str, c: str, v: str) -> str:
+    anyhow = "false" if c == "nothing" else f"exists (select 1 from {t} where lower(trim({c}::varchar)) = lower(trim('{v}')))"
+    exact = "false" if c == "nothing" else f"exists (select 1 from {t} where {c}::varchar = '{v}')"
+    return f"select '{t}' as \"table\", '{c}' as \"column\", '{v}' as literal, {exact} as found, {anyhow} as found_anyhow"
+
+
+@query(" union all ".join(_found(*at) for at in _LITERALS))
+def literals_in_data(spark, sf_dir):
+    return L.literals_found(catalog(spark, sf_dir), spark.createDataFrame(_LITERALS, "table string, column string, literal string"))
+
+
 # --- result operators ------------------------------------------------------------------------------------------------------
 _CANDIDATES = [
     "SELECT COUNT(*) FROM customer WHERE c_mktsegment = 'BUILDING'", "SELECT SUM(c_mktsegment = 'BUILDING') FROM customer", "SELECT COUNT(*) FROM customer", "SELECT nothing FROM customer",

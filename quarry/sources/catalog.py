@@ -15,6 +15,7 @@ class Constraints:
 
     primary: dict[str, tuple[str, ...]] = field(default_factory=dict)
     foreign: tuple[tuple[str, str, str, str], ...] = ()
+    unique: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
 
 STAR = Constraints(
@@ -74,11 +75,16 @@ class Catalog:
         made = [(s, c, d, k or self.constraints.primary[d][0]) for s, c, d, k in self.constraints.foreign if s in self.names and d in self.names]
         return self.spark.createDataFrame(made, EDGE_SCHEMA)
 
+    def unique_keys(self) -> DataFrame:
+        """table, columns of the declared unique keys."""
+        return self.spark.createDataFrame([(t, list(key)) for t, key in self.constraints.unique], "table string, columns array<string>")
+
     def ddl(self, table: str) -> str:
         """A CREATE TABLE text with keys, one item a line."""
         items = [f"`{c}` {kind.upper()}" for t, c, _, kind, _ in self.types if t == table]
         if key := self.constraints.primary.get(table):
             items.append(f"PRIMARY KEY ({', '.join(f'`{k}`' for k in key)})")
+        items += [f"UNIQUE ({', '.join(f'`{k}`' for k in key)})" for t, key in self.constraints.unique if t == table]
         items += [f"FOREIGN KEY (`{c}`) REFERENCES `{d}` (`{k}`)" for s, c, d, k in self.constraints.foreign if s == table and d in self.names]
         return f"CREATE TABLE `{table}` (\n" + ",\n".join(f"    {x}" for x in items) + "\n)"
 

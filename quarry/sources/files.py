@@ -50,11 +50,10 @@ def read_descriptions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of questions; ids that are missing are their position."""
-    rows = spark.read.schema(TASK_SCHEMA).option("multiLine", True).json(path)
-    at = rows.rdd.zipWithIndex().map(lambda x: (x[1], *x[0]))
-    numbered = spark.createDataFrame(at, f"_at long, {TASK_SCHEMA}")
-    return numbered.withColumn("question_id", F.coalesce("question_id", "_at")).drop("_at")
+    """A JSON array of questions; ids that are missing are their position in the array."""
+    rows = spark.read.option("wholetext", True).text(path)
+    parsed = rows.select(F.posexplode(F.from_json("value", f"array<struct<{TASK_SCHEMA.replace(' ', ':')}>>".replace(",:", ","), {"mode": "FAILFAST"})).alias("_at", "t"))
+    return parsed.select("_at", "t.*").withColumn("question_id", F.coalesce("question_id", F.col("_at").cast("long"))).drop("_at")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
@@ -77,6 +76,46 @@ def write_predictions(finals: DataFrame, path: str) -> None:
     rows.orderBy(F.col("question_id").cast("long")).write.mode("overwrite").json(path)
 
 
+def upsert_predictions(spark: SparkSession, finals: DataFrame, path: str) -> None:
+    """Puts predictions in by question_id; those of other questions stay. The new set is written whole beside the old one
+    first, so a run that breaks off leaves one of the two complete."""
+    new = finals.select(F.col("question_id").cast("string").alias("question_id"), prediction(F.col("sql"), F.col("db_id")).alias("prediction"))
+    if finished(spark, path) is not None:
+        old = spark.read.schema("question_id string, prediction string").json(path)
+        new = new.unionByName(old.join(new.select("question_id"), "question_id", "left_anti"))
+    new.orderBy(F.col("question_id").cast("long")).write.mode("overwrite").json(f"{path}.next")
+    spark.read.schema("question_id string, prediction string").json(f"{path}.next").orderBy(F.col("question_id").cast("long")).write.mode("overwrite").json(path)
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame | None:
+    """question_id long of the predictions that lie there; None where nothing was written yet."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("question_id string, prediction string").json(path).select(F.col("question_id").cast("long").alias("question_id"))
+    except AnalysisException:  # no such path
+        return None
+
+
+def write_json_array(frame: DataFrame, path: str, order: list[str]) -> None:
+    """All rows as one JSON array in a text file: for what people read (statistics, schemas of a few questions), not for data."""
+    kept = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"}).alias("_json"))
+    listed = F.transform(F.array_sort(F.collect_list(kept)), lambda r: r["_json"])
+    frame.agg(F.concat(F.lit("["), F.array_join(listed, ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_arguments(spark: SparkSession, arguments: dict[str, object], path: str) -> None:
+    """The arguments of a run, as one JSON object."""
+    import json
+
+    spark.createDataFrame([(json.dumps(arguments, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_conversations(conversations: DataFrame, path: str) -> None:
+    """What was asked and answered, appended."""
+    conversations.write.mode("append").json(path)
+
+
 def write_sql_text(predictions: DataFrame, path: str) -> None:
     """One query a line."""
     predictions.select(F.regexp_replace(predicted_sql(F.col("prediction")), r"\s*[\r\n]+\s*", " ").alias("value")).write.mode("overwrite").text(path)

@@ -372,3 +372,76 @@ def test_block_joins_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(bounds, "MOST_SMALL", 5)
     assert sorted(map(tuple, bounds.blocks_joined(left, right, F.col("a") > F.col("b"), blocks=4).collect())) == want
     assert bounds.blocks_joined(left, right).count() == 1200
+
+
+class Moody:
+    """Fails, answers nonsense or a query, by turns and by question."""
+
+    def __init__(self):
+        self.n = 0
+
+    def complete(self, prompt, temperature=0.0):
+        self.n += 1
+        if "question 13" in prompt:
+            raise ConnectionError("no line")
+        return "nothing" if self.n % 2 else "<FINAL_ANSWER>SELECT COUNT(*) FROM nation</FINAL_ANSWER>"
+
+
+def test_twenty_tasks_at_a_time(spark, catalog):
+    db = workflow.Engineered(catalog, providers.Engine("m", Moody()))
+    tasks = [workflow.Task(i, "star", f"question {i}?", "", "SELECT COUNT(*) FROM nation") for i in range(20)]
+    kept = []
+    stages = [workflow.SelectTables("oracle"), workflow.GenerateCandidate(samples=3, engines=(db.engine, providers.Engine("s", providers.Scripted((), "<FINAL_ANSWER>SELECT 25</FINAL_ANSWER>")))), workflow.Evaluate()]
+    evaluated, states = workflow.run_tasks(db, tasks, stages, threads=8, finished={("star", 3)}, on_done=lambda s, rows: kept.append((s.task.question_id, len(rows))))
+    assert [s.task.question_id for s in states] == [i for i in range(20) if i != 3] and sorted(kept) == [(i, 3) for i in range(20) if i != 3]
+    lost = next(s for s in states if s.task.question_id == 13)
+    assert [c.sql for c in lost.candidates["generate_candidate"]] == ["SELECT 25"] * 3 and len(lost.history[1]["failed_samples"]) == 3
+    assert not any(s.errors for s in states)
+    assert evaluated.where("stage = 'final_SQL' and exec_res = 1").count() == 19
+    assert set(db.executed) <= {"SELECT 25", "SELECT COUNT(*) FROM nation"}
+    assert workflow.conversation_frame(db).where("template = 'candidate'").count() == 19 * 6
+
+
+def test_a_query_runs_once(spark, catalog, monkeypatch):
+    ran, known = [], {}
+    monkeypatch.setattr(sqlrun, "frame", lambda spark, sql, sqlite=True: ran.append(sql) or spark.sql(sql))
+    first = sqlrun.execute_all(spark, [(0, 0, "SELECT 1"), (0, 1, "SELECT 1"), (0, 2, "SELECT broken")], known=known).collect()
+    again = sqlrun.execute_all(spark, [(1, 0, "SELECT broken"), (1, 1, "SELECT 1")], known=known).collect()
+    assert ran == ["SELECT 1", "SELECT broken"] and first[0]["digest"] == first[1]["digest"] == again[1]["digest"] and again[0]["error"]
+
+
+def test_calls_at_once_and_samples(spark):
+    engine = providers.Engine("s", providers.Scripted((("two", "[2]"), ("bad", "no list")), "[1]"))
+    got = providers.call_all(engine, ["one", "bad", "two"], "python_list", attempts=2)
+    assert got[0] == [1] and isinstance(got[1], Exception) and got[2] == [2] and providers.call_all(engine, []) == []
+    asked = providers.ask(spark.createDataFrame([(7, "two")], "request_id long, prompt string"), engine, samples=3)
+    assert sorted((r["request_id"], r["sample"], r["answer"]) for r in asked.collect()) == [(7, i, "[2]") for i in range(3)]
+    assert providers.ask(spark.createDataFrame([(7, "two")], "request_id long, prompt string"), engine, samples=0).isEmpty()
+
+
+def test_upsert_and_other_sinks(spark, tmp_path):
+    kind = "question_id long, db_id string, sql string"
+    assert files.finished(spark, f"{tmp_path}/u") is None
+    files.upsert_predictions(spark, spark.createDataFrame([(1, "db", "SELECT 1"), (2, "db", "SELECT 2")], kind), f"{tmp_path}/u")
+    files.upsert_predictions(spark, spark.createDataFrame([(2, "db", "SELECT 22"), (3, "db", None)], kind), f"{tmp_path}/u")
+    got = {r["question_id"]: files_sql for r in spark.read.json(f"{tmp_path}/u").collect() if (files_sql := r["prediction"].split("\t")[0])}
+    assert got == {"1": "SELECT 1", "2": "SELECT 22", "3": "0"} and sorted(r[0] for r in files.finished(spark, f"{tmp_path}/u").collect()) == [1, 2, 3]
+    files.write_json_array(spark.createDataFrame([(2, None), (1, "x")], "id int, v string"), f"{tmp_path}/a", ["id"])
+    assert json.loads("\n".join(r[0] for r in spark.read.option("wholetext", True).text(f"{tmp_path}/a").collect())) == [{"id": 1, "v": "x"}, {"id": 2, "v": None}]
+    files.write_arguments(spark, {"b": 1, "a": None}, f"{tmp_path}/args")
+    assert json.loads(spark.read.text(f"{tmp_path}/args").first()[0]) == {"a": None, "b": 1}
+
+
+def test_unique_keys_are_rendered(spark, sf_dir):
+    from quarry.sources.catalog import Constraints
+
+    own = Catalog(spark, sf_dir, ("nation",), Constraints({"nation": ("n_nationkey",)}, (), (("nation", ("n_name", "n_regionkey")), ("nation", ("n_name",)))))
+    assert "UNIQUE (`n_name`)" in own.ddl("nation")
+    shown = schema_ops.render_tables(schema_ops.subselect(own.columns(), schema_ops.from_map(spark, {"nation": ["n_name"]})), own.edges(), unique=own.unique_keys()).first()["ddl"]
+    assert "UNIQUE (`n_name`)," in shown and "n_regionkey" not in shown
+
+
+def test_near_the_best_has_null_groups(spark):
+    rows = spark.createDataFrame([(None, 10.0), (None, 9.5), (None, 1.0), ("a", None), ("a", 2.0)], "g string, v double")
+    for small in (True, False):
+        assert sorted(retrieval.near_the_best(rows, "v", ["g"], small=small).collect(), key=str) == sorted([(None, 10.0), (None, 9.5), ("a", 2.0)], key=str)
