@@ -392,7 +392,29 @@ def response_union(spark, sf_dir):
     return schema_ops.merge_responses(spark.createDataFrame(rows, "ord int, table string, column string, reasoning string"))
 
 
-@query()
+def _rows(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+
+
+# What _descriptions says once cleaned; keys between tables; the columns of the schema text below.
+_DESCRIBED = f"""(values {_rows([
+    ("customer", "c_name", "customer name", "full name of a customer", ""), ("customer", "c_acctbal", "account balance", "money on the account", "negative means debt"),
+    ("customer", "c_mktsegment", "market segment", "", "AUTOMOBILE, BUILDING and others"), ("orders", "o_totalprice", "total price", "price of the whole order", ""),
+    ("orders", "o_orderdate", "order date", "when the order came in", ""), ("part", "p_type", "type", "material of the part", ""), ("region", "r_name", "region name", "part of the world", "EUROPE is in capitals"),
+])}) d(t, c, meaning, said, coded)"""
+_EDGES = f"(values {_rows(STAR.foreign)}) e(s, c, d, k)"
+_SHOWN = [("customer", "c_custkey"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_totalprice")]
+
+
+@query(f"""
+with x as (select "table" as t, "column" as c, 'Example Values: ' || string_agg('`' || value || '`', ', ' order by value) as examples from
+    (select *, row_number() over (partition by "table", "column" order by value) as n from (select distinct * from ({_pairs([("customer", "c_name"), ("customer", "c_mktsegment")])}))) where n <= 3 group by all),
+l as (select "table" as t, ordinal, '    `' || "column" || '` ' || upper(type) || ',' as line, concat_ws(' | ', x.examples, case when meaning <> '' and lower(meaning) <> lower("column") then 'Column Name Meaning: ' || meaning end,
+    case when said <> '' then 'Column Description: ' || said end, case when coded <> '' then 'Value Description: ' || coded end) as comment
+    from ({_COLUMNS}) o join (values {_rows(_SHOWN)}) w(t, c) on w.t = o."table" and w.c = o."column" left join {_DESCRIBED} on d.t = o."table" and d.c = o."column" left join x on x.t = o."table" and x.c = o."column"),
+a as (select t, ordinal, line || case when comment <> '' then ' -- ' || comment else '' end as line from l union all select t, 1000, '    PRIMARY KEY (`' || c || '`),' from (values ('customer', 'c_custkey'), ('orders', 'o_orderkey')) p(t, c)
+    union all select s, 1001, '    FOREIGN KEY (`' || c || '`) REFERENCES `' || d || '` (`' || k || '`),' from {_EDGES} where s in ('customer', 'orders') and d in ('customer', 'orders'))
+select string_agg('CREATE TABLE `' || t || '` (' || chr(10) || body || chr(10) || ');', chr(10) || chr(10) order by t) as schema from (select t, string_agg(line, chr(10) order by ordinal) as body from a group by t)""")
 def schema_string(spark, sf_dir):
     c = catalog(spark, sf_dir)
     examples = profile.examples(c, [("customer", "c_name"), ("customer", "c_mktsegment")])
@@ -401,7 +423,12 @@ def schema_string(spark, sf_dir):
     return schema_ops.schema_string(schema_ops.render_tables(schema_ops.assembled(c, working, examples, described), c.edges()))
 
 
-@query()
+@query(f"""
+select "table", "column", concat_ws(chr(10), 'Table name: `' || "table" || '`', 'Original column name: `' || "column" || '`', 'Data type: ' || upper(type), case when meaning <> '' then 'Expanded column name: ' || meaning end,
+    case when said <> '' then 'Description: ' || said end, case when coded <> '' then 'Value description: ' || coded end, case when is_primary then 'Primary key' end, 'Refers to: ' || f.names, 'Referred to by: ' || r.names) as profile
+from ({_COLUMNS}) o left join {_DESCRIBED} on d.t = "table" and d.c = "column"
+left join (select s as t, c, string_agg('`' || d || '`.`' || k || '`', ', ' order by d, k) as names from {_EDGES} group by s, c) f on f.t = "table" and f.c = "column"
+left join (select d as t, k as c, string_agg('`' || s || '`.`' || c || '`', ', ' order by s, c) as names from {_EDGES} group by d, k) r on r.t = "table" and r.c = "column\"""")
 def column_profiles(spark, sf_dir):
     c = catalog(spark, sf_dir)
     full = schema_ops.add_info(c.columns(), _descriptions(spark).withColumnRenamed("original_column_name", "column"), ["column_name", "column_description", "value_description"])
