@@ -5,7 +5,8 @@ table of one pair of features), so the model is a base, a table per feature and
 of a text up and adds. Inputs are computed from the whole text alone.
 
 Defined cases: a null text counts as empty; empty texts get the score of the empty feature row; repeated rows are scored each;
-rows without a doc_id are never learnt from; labels that are null are ignored, of several labels of one document the largest
+rows without a doc_id are never learnt from, and of rows that share one
+only that of least features is; labels that are null are ignored, of several labels of one document the largest
 counts; without labels of both kinds the score is the share of label 1 (0.5 with none). Other columns are left out.
 """
 
@@ -178,7 +179,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROW
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch.column(1)), pa.array([features(t) for t in utf8(batch.column(2))], pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     made = map_batches(rows.select("doc_id", F.col("quality").cast("double"), "text"), compute, "doc_id long, quality double, x array<double>")
-    got = sorted(made.collect(), key=lambda r: (r[0], r[2]))  # at most max_rows small rows, in an order that reruns share
+    one = made.groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("r")).select("doc_id", "r.quality", "r.x")  # of repeated rows one
+    got = sorted(one.collect(), key=lambda r: r[0])  # at most max_rows small rows, in an order that reruns share
     return fit(np.array([r[2] for r in got]).reshape(len(got), len(FEATURES)), np.array([r[1] for r in got]))
 
 
