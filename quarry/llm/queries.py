@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, html_text, itemsets, licenses, mixing, quality, sentencepiece, simhash, sketch, suffix, warc
+from quarry.llm import alignment, ann, html_text, itemsets, licenses, mixing, quality, sentencepiece, simhash, sketch, suffix, token_files, warc
 from quarry.llm.common import table
 
 
@@ -52,14 +52,22 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_basket_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.of_sales(table(spark, sf_dir, "sale_lines"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_html_extraction, op2_quality_classifier, op3_license_scan, op4_warc_salvage, op5_simhash_near_dedup, op6_source_mixing, op7_document_fingerprints,
-        op8_suffix_dedup, op9_sentencepiece, op10_nearest_neighbours, op12_basket_itemsets,
+        op8_suffix_dedup, op9_sentencepiece, op10_nearest_neighbours, op11_token_alignment, op12_basket_itemsets, op13_token_files,
     )
     return {f.__name__: f for f in operators}
 
