@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import results as R
+from quarry.operators.sequences import ordered_digest
 from quarry.plans.dialect import bridge, clean
 
 
@@ -118,8 +119,9 @@ def execution_status(spark: SparkSession, sql: str, timeout: float = 60, strict:
     return R.status(len(some), len(result.columns), some[0] if some else None, is_count, all_null, strict)
 
 
-def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], timeout: float = 60, known: dict[str, tuple] | None = None) -> DataFrame:
-    """question_id, ord, sql, digest, n_rows, status, error of candidate queries: (question_id, ord, sql).
+def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], timeout: float = 60, known: dict[str, tuple] | None = None, ordered: bool = False) -> DataFrame:
+    """question_id, ord, sql, digest, n_rows, status, error of candidate queries: (question_id, ord, sql). ``ordered``: results count as sequences
+    where their query says an order and as multisets elsewhere, not as sets.
 
     ``known`` keeps outcomes by the query's text, so that a text runs once however many candidates and stages have it; what ran
     out of time is not kept.
@@ -129,7 +131,7 @@ def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], tim
     def outcome(sql: str) -> tuple:
         try:
             result = frame(spark, sql)
-            digest, n, _ = with_timeout(spark, lambda: R.result_digest(result).first(), timeout)
+            digest, n, _ = with_timeout(spark, lambda: (ordered_digest if ordered else R.result_digest)(result).first(), timeout)
             return digest, n, R.status(n), None
         except TimeoutError as e:
             return None, None, R.WRONG, str(e)[:500]
@@ -146,8 +148,8 @@ def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], tim
     return spark.createDataFrame(rows, "question_id long, ord int, sql string, digest string, n_rows long, status string, error string")
 
 
-def aggregate_sqls(spark: SparkSession, sqls: list[str], timeout: float = 60) -> str:
+def aggregate_sqls(spark: SparkSession, sqls: list[str], timeout: float = 60, ordered: bool = False) -> str:
     """The shortest query of those whose result most of them give; the first one if all fail."""
     if not sqls:
         raise ValueError("no queries")
-    return R.majority_vote(execute_all(spark, [(0, i, s) for i, s in enumerate(sqls)], timeout)).first()["sql"]
+    return R.majority_vote(execute_all(spark, [(0, i, s) for i, s in enumerate(sqls)], timeout, ordered=ordered)).first()["sql"]

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.parsers import final_sql_column, verdict_column
-from quarry.operators import datasets, profile, results, retrieval, schema_ops, values, vectors
+from quarry.operators import datasets, postings, profile, results, retrieval, schema_ops, time_joins, values, vectors
 from quarry.plans import lineage as L
 from quarry.plans import sqlrun
 from quarry.plans.dialect import bridge
 from quarry.sources import files
-from quarry.sources.catalog import STAR, TABLES, Catalog
+from quarry.sources.catalog import SHOP, STAR, TABLES, Catalog
+from quarry.sources.shared import shared_path
 from quarry.streaming.tables import event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +45,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, sf_dir)
 
 
+def shop(spark: SparkSession, sf_dir: str) -> Catalog:
+    return Catalog(spark, sf_dir, SHOP)
+
+
 def _sql(name: str, sqlite: str, oracle: str | None = None) -> None:
     """A query given as text in the SQLite dialect; the oracle is the same text unless given."""
 
@@ -247,16 +252,26 @@ def _signed(names: str, source: str, text: str) -> str:
     return f"select {names}, slot, min((h * a + b) % {T.PRIME}) as key from ({hashed}), p group by all"
 
 
-@query(f"""
+_MINHASH_TOP = f"""
 with p as (select slot, cast(a as bigint) as a, cast(b as bigint) as b from (values {_SLOTS}) t(slot, a, b)),
 v as ({_signed('"table", "column", value', f"select distinct * from ({_pairs(SHORT_COLUMNS)})", "value")}),
 k as ({_signed("keyword", f"select * from (values {_keyword_values()}) t(keyword)", "keyword")}),
 s as (select keyword, "table", "column", value, count(*) / {T.PERMUTATIONS} as estimate from v join k using (slot, key) group by all)
-select * from (select *, cast(row_number() over (partition by keyword order by estimate desc, "table", "column", value) as integer) as rank from s) where rank <= 10""")
+select * from (select *, cast(row_number() over (partition by keyword order by estimate desc, "table", "column", value) as integer) as rank from s) where rank <= 10"""
+
+
+@query(_MINHASH_TOP)
 def minhash_topk(spark, sf_dir):
     return values.signature_top(values.signatures(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS)), _keywords(spark))
 
 
+@query(_MINHASH_TOP)
+def posting_topk(spark, sf_dir):
+    index = postings.PostingIndex(spark, shared_path(spark, "postings"), buckets=2)
+    index.append(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS))
+    return index.top(_keywords(spark))
+
+
 @query(f"select \"table\", \"column\", count(*) as n_rows from ({_pairs(SHORT_COLUMNS)}) where contains(lower(value), 'ation') group by all")
 def like_probe(spark, sf_dir):
     rows = catalog(spark, sf_dir).long_text(SHORT_COLUMNS)
@@ -506,6 +521,31 @@ def result_clusters(spark, sf_dir):
     return results.clusters(_executed(spark, sf_dir)).select("ord", F.col("cluster_size").cast("int").alias("cluster_size"), "cluster_first")
 
 
+# Queries that say an order, with the order in DuckDB's words.
+_LINES = "l_orderkey, l_linenumber, l_partkey"
+_BY_DATE = "l_shipdate, l_orderkey, l_linenumber, l_partkey"
+_SEQUENCES = [
+    (f"SELECT {_LINES} FROM lineitem ORDER BY {_BY_DATE}", "lineitem", _BY_DATE),
+    (f"SELECT t.l_orderkey, t.l_linenumber, t.l_partkey FROM (SELECT * FROM lineitem WHERE l_orderkey IS NOT NULL) AS t ORDER BY t.l_shipdate, t.l_orderkey, t.l_linenumber, t.l_partkey", "lineitem", _BY_DATE),
+    (f"SELECT {_LINES} FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey", "lineitem", f"l_shipdate desc, {_LINES}"),
+    (f"SELECT {_LINES} FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem) AS t ORDER BY {_BY_DATE}", "(select * from lineitem union all select * from lineitem)", _BY_DATE),
+    (f"SELECT {_LINES} FROM lineitem ORDER BY {_BY_DATE} LIMIT 1000", f"(select * from lineitem order by {_BY_DATE} limit 1000)", _BY_DATE),
+    (f"SELECT {_LINES} FROM lineitem WHERE l_quantity > 0 ORDER BY {_BY_DATE} LIMIT 1000", f"(select * from lineitem where l_quantity > 0 order by {_BY_DATE} limit 1000)", _BY_DATE),
+    (f"SELECT {_LINES} FROM lineitem ORDER BY {_LINES}, l_shipdate", "lineitem", f"{_LINES}, l_shipdate"),
+    (f"SELECT {_LINES} FROM lineitem ORDER BY {_LINES}", "lineitem", _LINES),
+]
+
+
+@query(
+    "with d as (" + " union all ".join(f"select {i} as ord, count(*) as n_rows, md5(string_agg(concat_ws('|', {_LINES}), ',' order by {o})) as d from {t}" for i, (_, t, o) in enumerate(_SEQUENCES))
+    + ") select ord, n_rows, cast(count(*) over (partition by d) as integer) as cluster_size, min(ord) over (partition by d) as cluster_first from d"
+)
+def ordered_clusters(spark, sf_dir):
+    catalog(spark, sf_dir).register()
+    executed = sqlrun.execute_all(spark, [(0, i, s) for i, (s, _, _) in enumerate(_SEQUENCES)], ordered=True)
+    return results.clusters(executed).select("ord", "n_rows", F.col("cluster_size").cast("int").alias("cluster_size"), "cluster_first")
+
+
 @query("select 'SELECT SUM(c_mktsegment = ''BUILDING'') FROM customer' as sql, 1 as ord")
 def majority_vote(spark, sf_dir):
     return results.majority_vote(_executed(spark, sf_dir)).select("sql", "ord")
@@ -611,6 +651,27 @@ def sampled_table(spark, sf_dir):
     return catalog(spark, sf_dir).sample("lineitem", 1000).select("l_orderkey", "l_partkey", "l_quantity")
 
 
+# --- joins by time ---------------------------------------------------------------------------------------------------------
+@query("""
+with c as (select client_id, ts, max(click_id) as click_id from clicks where client_id is not null and ts is not null group by all)
+select s.sale_id, c.click_id, c.ts as clicked_at from sales s asof left join c on s.client_id = c.client_id and s.sold_at >= c.ts""")
+def asof_join(spark, sf_dir):
+    tables = shop(spark, sf_dir)
+    clicks = tables.table("clicks").select("client_id", F.col("ts").alias("clicked_at"), "click_id")
+    found = time_joins.asof_join(tables.table("sales").select("sale_id", "client_id", "sold_at"), clicks, ["client_id"], "sold_at", "clicked_at", ["click_id"])
+    return found.select("sale_id", "click_id", "clicked_at")
+
+
+@query("""
+select s.sale_id, count(*) as n_rows, count(distinct c.click_id) as n_clicks, min(c.ts) as first_at, max(c.ts) as last_at
+from sales s join clicks c on c.client_id = s.client_id and c.ts >= s.sold_at - interval 1 day and c.ts < s.sold_at group by s.sale_id""")
+def interval_join(spark, sf_dir):
+    tables = shop(spark, sf_dir)
+    days = tables.table("sales").select("sale_id", "client_id", F.expr("sold_at - interval 1 day").alias("opened"), "sold_at")
+    met = time_joins.interval_join(days, tables.table("clicks").select("client_id", "ts", "click_id"), ["client_id"], "opened", "sold_at", "ts")
+    return met.groupBy("sale_id").agg(F.count("*").alias("n_rows"), F.countDistinct("click_id").alias("n_clicks"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+
+
 # --- beyond the question tools ---------------------------------------------------------------------------------------------
 @query("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n_events, round(sum(value), 4) as total from events group by all")
 def event_hours(spark, sf_dir):

@@ -30,6 +30,7 @@ STAR = Constraints(
     ),
 )
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+SHOP = ("clicks", "sales", "sale_lines", "clients", "client_changes", "vendors", "items", "stamps")
 COLUMN_SCHEMA = "table string, column string, ordinal int, type string, is_primary boolean"
 EDGE_SCHEMA = "src_table string, src_column string, dst_table string, dst_column string"
 
