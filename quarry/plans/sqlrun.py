@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark import InheritableThread
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import results as R
 from quarry.operators.sequences import ordered_digest
-from quarry.plans.dialect import bridge, clean
+from quarry.plans.dialect import bridge, bridge_typed, clean  # noqa: F401  bridge is used by callers of this module
 
 
 def known_columns(spark: SparkSession) -> set[str]:
@@ -22,7 +23,16 @@ def known_columns(spark: SparkSession) -> set[str]:
 
 def frame(spark: SparkSession, sql: str, sqlite: bool = True) -> DataFrame:
     """The lazy result of a query, from the SQLite dialect by default."""
-    return spark.sql(bridge(sql, known_columns(spark) if '"' in sql else None) if sqlite else sql)
+    if not sqlite:
+        return spark.sql(sql)
+
+    def analyzes(text: str) -> bool:
+        try:  # EXPLAIN says in its text what is wrong, and runs nothing
+            return not spark.sql(f"EXPLAIN {text}").first()[0].startswith("Error occurred")
+        except AnalysisException:  # no SQL at all: running it will say so
+            return False
+
+    return spark.sql(bridge_typed(sql, known_columns(spark) if '"' in sql else None, analyzes))
 
 
 def with_timeout(spark: SparkSession, work, timeout: float) -> Any:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.parsers import final_sql_column, verdict_column
-from quarry.operators import datasets, postings, profile, results, retrieval, schema_ops, time_joins, values, vectors
+from quarry.operators import datasets, keys, postings, profile, results, retrieval, schema_ops, time_joins, values, vectors
 from quarry.plans import lineage as L
 from quarry.plans import sqlrun
 from quarry.plans.dialect import bridge
@@ -134,6 +135,33 @@ _sql(
 _sql("sql_grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_recursive_cte", "WITH RECURSIVE up(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM up WHERE n < 12) SELECT n, (SELECT COUNT(*) FROM nation) AS n_nations FROM up")
 _sql("sql_functions", "SELECT p_partkey, IFNULL(NULLIF(SUBSTR(p_name, 1, 4), 'blue'), 'none') AS head, INSTR(p_name, 'e') AS place, IIF(p_size > 25, 'large', 'small') AS kind, ROUND(JULIANDAY('2024-03-01') - JULIANDAY('2024-02-01'), 1) AS days, CAST('12abc' AS INTEGER) AS number, CAST('abc' AS REAL) AS zero, p_name || '/' || p_type AS joined FROM part", "SELECT p_partkey, IFNULL(NULLIF(SUBSTR(p_name, 1, 4), 'blue'), 'none') AS head, CAST(INSTR(p_name, 'e') AS INTEGER) AS place, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS kind, CAST(29.0 AS DOUBLE) AS days, CAST(12 AS BIGINT) AS number, CAST(0.0 AS DOUBLE) AS zero, p_name || '/' || p_type AS joined FROM part")
+_sql("sql_limit_comma", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2, 5", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5 OFFSET 2")
+_sql(
+    "sql_is_value",
+    "SELECT c_nationkey IS NOT 3 AS elsewhere, COUNT(*) AS n FROM customer WHERE NULLIF(c_mktsegment, 'BUILDING') IS NOT 'MACHINERY' AND c_custkey IS NOT NULL GROUP BY c_nationkey IS NOT 3",
+    "SELECT c_nationkey IS DISTINCT FROM 3 AS elsewhere, COUNT(*) AS n FROM customer WHERE NULLIF(c_mktsegment, 'BUILDING') IS DISTINCT FROM 'MACHINERY' AND c_custkey IS NOT NULL GROUP BY ALL",
+)
+_sql(
+    "sql_collate",
+    "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'building' COLLATE NOCASE OR c_name = 'CUSTOMER#000000007' COLLATE NOCASE",
+    "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) = 'building' OR upper(c_name) = 'CUSTOMER#000000007'",
+)
+_sql(
+    "sql_text_functions",
+    "SELECT p_partkey, UNICODE(p_name) AS first, UNICODE('') AS nothing, QUOTE(p_brand || '''s') AS quoted, QUOTE(p_size) AS number, QUOTE(NULL) AS none, SUBSTR(p_name, 0, 3) AS start, SUBSTR(p_name, p_partkey % 2, 4) AS moved, SUBSTR(p_name, -3, 2) AS tail FROM part",
+    "SELECT p_partkey, unicode(p_name) AS first, CAST(NULL AS INTEGER) AS nothing, '''' || p_brand || '''''s''' AS quoted, CAST(p_size AS VARCHAR) AS number, 'NULL' AS none, left(p_name, 2) AS start, CASE WHEN p_partkey % 2 = 0 THEN left(p_name, 3) ELSE left(p_name, 4) END AS moved, left(right(p_name, 3), 2) AS tail FROM part",
+)
+_sql(
+    "sql_typed_numbers",
+    "SELECT o_orderkey, (9007199254740993 + 2 * o_orderkey) / 2 AS exact, o_orderkey / 7 / 2 AS whole, 1.0 * o_orderkey / 8 AS fraction, o_totalprice / 2 AS half, 100 / (o_orderkey / 3) AS nested, o_orderkey % 7 AS rest, 5.5 % 2 AS odd, ROUND(2.5) AS rounded, o_orderkey / 0 AS nothing FROM orders",
+    "SELECT o_orderkey, (9007199254740993 + 2 * o_orderkey) // 2 AS exact, o_orderkey // 7 // 2 AS whole, CAST(o_orderkey AS DOUBLE) / 8 AS fraction, o_totalprice / 2 AS half, CASE WHEN o_orderkey // 3 = 0 THEN NULL ELSE 100 // (o_orderkey // 3) END AS nested, o_orderkey % 7 AS rest, CAST(1 AS DOUBLE) AS odd, CAST(3 AS DOUBLE) AS rounded, CAST(NULL AS BIGINT) AS nothing FROM orders",
+)
+_sql("sql_bare_columns", "SELECT o_custkey, o_orderkey, MAX(o_totalprice) AS most, COUNT(*) AS n FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS o_orderkey, MAX(o_totalprice) AS most, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+_sql(
+    "sql_bare_row",
+    "SELECT c.c_name AS name, n.n_name, MIN(c.c_acctbal) AS least FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey",
+    "SELECT arg_min(c.c_name, c.c_acctbal) AS name, arg_min(n.n_name, c.c_acctbal) AS n_name, MIN(c.c_acctbal) AS least FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey",
+)
 
 
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n_lines from lineitem where l_shipdate <= timestamp '1998-09-02' group by all")
@@ -160,6 +188,46 @@ def fk_integrity(spark, sf_dir):
     return catalog(spark, sf_dir).orphans()
 
 
+# All columns of the tables but arrays.
+_COLUMN_NAMES = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+_NOT_COMPARED = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "o_orderdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "ts", "value"}  # numbers with fractions, and times
+
+
+def _unique_single() -> str:
+    return " union all ".join(f"select '{t}' as t, '{c}' as c, count(*) > 0 and count(*) = count({c}) as is_full, count(*) > 0 and count(*) = count({c}) and count(*) = count(distinct {c}) as is_key from {t}" for t, cs in _COLUMN_NAMES.items() for c in cs.split())
+
+
+def _unique_pairs() -> str:
+    pairs = [(t, a, b) for t, cs in _COLUMN_NAMES.items() for a, b in itertools.combinations(cs.split(), 2)]
+    return " union all ".join(f"select '{t}' as t, '{a}' as a, '{b}' as b, count(*) = count(distinct ({a}, {b})) as is_key from {t}" for t, a, b in pairs)
+
+
+@query(
+    f"with s as ({_unique_single()}), p as ({_unique_pairs()}) select t as \"table\", c as columns, 1 as size from s where is_key union all "
+    "select p.t, p.a || ',' || p.b, 2 from p join s x on x.t = p.t and x.c = p.a join s y on y.t = p.t and y.c = p.b where p.is_key and x.is_full and y.is_full and not x.is_key and not y.is_key"
+)
+def discovered_keys(spark, sf_dir):
+    return keys.discovered_keys(catalog(spark, sf_dir))
+
+
+_VALUES_OF_ALL = " union all ".join(f"select distinct '{t}' as t, '{c}' as c, typeof({c}) = 'VARCHAR' as is_text, cast({c} as varchar) as v from {t} where {c} is not null" for t, cs in _COLUMN_NAMES.items() for c in cs.split() if c not in _NOT_COMPARED)
+
+
+@query(
+    f"with s as ({_unique_single()}), v as ({_VALUES_OF_ALL}), n as (select t, c, count(*) as n from v group by all), "
+    "k as (select v.* from v join s on s.t = v.t and s.c = v.c where s.is_key), "
+    "m as (select a.t, a.c, k.t as kt, k.c as kc, count(*) as n from v a join k on k.is_text = a.is_text and k.v = a.v where (k.t, k.c) <> (a.t, a.c) group by all) "
+    "select m.t as src_table, m.c as src_column, kt as dst_table, kc as dst_column, n.n as n_values from m join n on n.t = m.t and n.c = m.c and n.n = m.n"
+)
+def discovered_references(spark, sf_dir):
+    return keys.discovered_references(catalog(spark, sf_dir))
+
+
 _KEY_LINES = " union all ".join(
     [f"select '{t}' as \"table\", 1000 as ordinal, 'PRIMARY KEY ({', '.join(f'`{c}`' for c in key)})' as line" for t, key in STAR.primary.items()]
     + [f"select '{s}', {1001 + i}, 'FOREIGN KEY (`{c}`) REFERENCES `{d}` (`{k}`)'" for i, (s, c, d, k) in enumerate(STAR.foreign)]
