@@ -163,6 +163,16 @@ _sql(
     "SELECT arg_min(c.c_name, c.c_acctbal) AS name, arg_min(n.n_name, c.c_acctbal) AS n_name, MIN(c.c_acctbal) AS least FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey",
 )
 
+_sql(
+    "sql_json_each",
+    "SELECT e.event_type, j.key AS name, j.type AS kind, COUNT(*) AS n, SUM(CAST(j.value AS INTEGER)) AS total FROM events e, json_each(e.props) AS j GROUP BY e.event_type, j.key, j.type",
+    "SELECT event_type, 'k' AS name, 'integer' AS kind, COUNT(*) AS n, CAST(SUM(CAST(regexp_extract(props, '\"k\": ([0-9]+)', 1) AS BIGINT)) AS BIGINT) AS total FROM events WHERE props IS NOT NULL GROUP BY event_type",
+)
+_sql(
+    "sql_lateral_top",
+    "SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) AS o",
+)
+
 
 @query("select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n_lines from lineitem where l_shipdate <= timestamp '1998-09-02' group by all")
 def sql_pricing_summary(spark, sf_dir):

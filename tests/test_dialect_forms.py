@@ -45,3 +45,22 @@ def test_texts_that_stay():
     for sql in ("SELECT a, b FROM t", "SELECT * FROM t", "SELECT t.* FROM t GROUP BY a", "SELECT a FROM t WHERE b IS NOT NULL LIMIT 5"):
         assert bridge(sql) == sql
     assert bridge("SELECT a, MAX(b), MIN(b) FROM t") == "SELECT any_value(a) AS a, MAX(b), MIN(b) FROM t"
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "SELECT j.id, e.key, e.value, e.type FROM jsons AS j, json_each(j.doc) AS e", "SELECT j.id, e.value FROM jsons j, json_each(j.doc, '$.items') e WHERE e.key <> 0", "SELECT COUNT(*) FROM jsons AS j JOIN json_each(j.doc, '$.items') AS e",
+        "SELECT j.id, COUNT(*) AS n, MAX(json_extract(e.value, '$.q')) FROM jsons AS j, json_each(j.doc, '$.items') AS e GROUP BY j.id", "SELECT x.key, x.value FROM json_each('[3, 4]') AS x",
+    ],
+)
+def test_json_each(spark, sql):
+    docs = [(1, '{"a": 1, "b": "x", "c": null, "d": true, "e": 2.5}'), (2, '{"items": [{"q": 5}, {"q": 7, "z": [1]}, 3]}'), (3, "[10, [20], {}]"), (4, None), (5, '{"items": []}')]
+    spark.createDataFrame(docs, "id int, doc string").createOrReplaceTempView("jsons")
+    con = sqlite3.connect(":memory:")
+    con.execute("create table jsons(id integer, doc text)")
+    con.executemany("insert into jsons values (?, ?)", docs)
+    theirs = [tuple({"true": 1, "false": 0}.get(v, v) if i == 2 else v for i, v in enumerate(r)) for r in con.execute(sql).fetchall()]
+    mine = [tuple({"true": "1", "false": "0"}.get(v, v) if i == 2 else v for i, v in enumerate(r)) for r in map(tuple, sqlrun.frame(spark, sql).collect())]
+    key = lambda r: tuple("" if v is None else v for v in r)
+    assert sorted(map(tuple, ([None if v is None else str(v).replace(" ", "") for v in r] for r in mine)), key=key) == sorted(map(tuple, ([None if v is None else str(v).replace(" ", "") for v in r] for r in theirs)), key=key)
