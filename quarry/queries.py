@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -28,7 +28,6 @@ TEXT_COLUMNS = [
     ("orders", "o_orderstatus"), ("orders", "o_orderpriority"), ("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("events", "event_type"), ("events", "props"),
     ("documents", "text"), ("documents", "lang"), ("documents", "source"), ("pages", "url"), ("pages", "html"), ("benchmark", "text"), ("conversations", "role"), ("conversations", "text"),
 ]
-SHORT_COLUMNS = [(t, c) for t, c in TEXT_COLUMNS if c not in ("text", "html", "url", "props")]
 KEYWORDS = ["AUTOMOBILE", "europe", "blue ring", "blu ring", "Customer#000000042", "NATION_7", "purchase", "ab", "c_mktsegment = BUILDING", "MAX(COUNT(o_orderkey))"]
 
 
@@ -254,6 +253,9 @@ _SKIPPED = "regexp_matches(lower(\"column\"), '_id| id|url|email|web|time|phone|
 _ELIGIBLE = f"select * from ({_PROFILE}) where not {_SKIPPED} and ((contains(lower(\"column\"), 'name') and sum_length < 5000000) or (sum_length < 2000000 and avg_length < 25) or n_distinct < 100)"
 
 
+_VALUES = f"select distinct v.\"table\", v.\"column\", v.value from ({_pairs(TEXT_COLUMNS)}) v join ({_ELIGIBLE}) e on e.\"table\" = v.\"table\" and e.\"column\" = v.\"column\""
+
+
 @query(_PROFILE)
 def profile_text_columns(spark, sf_dir):
     return profile.text_profile(catalog(spark, sf_dir))
@@ -269,36 +271,29 @@ def skip_columns(spark, sf_dir):
     return profile.skipped(profile.text_profile(catalog(spark, sf_dir)))
 
 
-_STAR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-_STAR_COLUMNS = {
-    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
-    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
-}
 _STATISTICS = " union all ".join(
     f"select '{t}' as \"table\", '{c}' as \"column\", count(*) as n_rows, count({c}) as n_non_null, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct, 'Total count ' || count({c}) || ' - Distinct count ' || count(distinct {c}) || ' - Null count ' || (count(*) - count({c})) as value_statics from {t}"
-    for t in _STAR_TABLES
-    for c in _STAR_COLUMNS[t].split()
+    for t, columns in _COLUMN_NAMES.items()
+    for c in [*columns.split(), *(["embedding"] if t == "embeddings" else [])]
 )
 
 
 @query(_STATISTICS)
 def column_statistics(spark, sf_dir):
-    return profile.column_statistics(catalog(spark, sf_dir), _STAR_TABLES)
+    return profile.column_statistics(catalog(spark, sf_dir))
 
 
 @query(f"select \"table\", \"column\", n_distinct + case when n_null > 0 then 1 else 0 end as n_values from ({_STATISTICS}) where n_distinct + case when n_null > 0 then 1 else 0 end < 20")
 def categorical_columns(spark, sf_dir):
-    return profile.categorical(profile.column_statistics(catalog(spark, sf_dir), _STAR_TABLES))
+    return profile.categorical(profile.column_statistics(catalog(spark, sf_dir)))
 
 
-@query(f"select \"table\", \"column\", string_agg(value, '|' order by value) as examples from (select *, row_number() over (partition by \"table\", \"column\" order by value) as n from (select distinct \"table\", \"column\", value from ({_pairs(SHORT_COLUMNS)}))) where n <= 3 group by all having length(min(value)) < 50")
+@query(f"select \"table\", \"column\", string_agg(value, '|' order by value) as examples from (select *, row_number() over (partition by \"table\", \"column\" order by value) as n from (select distinct \"table\", \"column\", value from ({_pairs(TEXT_COLUMNS)}))) where n <= 3 group by all having length(min(value)) < 50")
 def column_examples(spark, sf_dir):
-    return profile.examples(catalog(spark, sf_dir), SHORT_COLUMNS).withColumn("examples", F.array_join("examples", "|"))
+    return profile.examples(catalog(spark, sf_dir)).withColumn("examples", F.array_join("examples", "|"))
 
 
 # --- value index -----------------------------------------------------------------------------------------------------------
-_VALUES = f"select distinct v.\"table\", v.\"column\", v.value from ({_pairs(TEXT_COLUMNS)}) v join ({_ELIGIBLE}) e on e.\"table\" = v.\"table\" and e.\"column\" = v.\"column\""
 
 
 @query(_VALUES)
@@ -306,19 +301,19 @@ def unique_values(spark, sf_dir):
     return values.unique_values(catalog(spark, sf_dir))
 
 
-@query(f"select \"table\", \"column\", gram, count(*) as n_values from (select \"table\", \"column\", unnest({_GRAMS.format('value')}) as gram from (select distinct * from ({_pairs(SHORT_COLUMNS)}))) group by all")
+@query(f"select \"table\", \"column\", gram, count(*) as n_values from (select \"table\", \"column\", unnest({_GRAMS.format('value')}) as gram from ({_VALUES})) group by all")
 def value_ngrams(spark, sf_dir):
-    own = values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS)
+    own = values.unique_values(catalog(spark, sf_dir))
     return own.select("table", "column", F.explode(T.ngrams(F.col("value"))).alias("gram")).groupBy("table", "column", "gram").agg(F.count("*").alias("n_values"))
 
 
 @query(f"""
-with v as (select *, {_GRAMS.format('value')} as grams from (select distinct * from ({_pairs(SHORT_COLUMNS)}))),
+with v as (select *, {_GRAMS.format('value')} as grams from ({_VALUES})),
 k as (select keyword, {_GRAMS.format('keyword')} as own from (values {_keyword_values()}) t(keyword)),
 s as (select keyword, "table", "column", value, round(len(list_intersect(grams, own)) / len(list_distinct(list_concat(grams, own))), 6) as jaccard from v, k where len(list_intersect(grams, own)) > 0)
 select * from (select *, cast(row_number() over (partition by keyword order by jaccard desc, "table", "column", value) as integer) as rank from s) where rank <= 10""")
 def ngram_jaccard_topk(spark, sf_dir):
-    return values.jaccard_top(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS), _keywords(spark))
+    return values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark))
 
 
 _SLOTS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(T.slot_parameters()))
@@ -332,7 +327,7 @@ def _signed(names: str, source: str, text: str) -> str:
 
 _MINHASH_TOP = f"""
 with p as (select slot, cast(a as bigint) as a, cast(b as bigint) as b from (values {_SLOTS}) t(slot, a, b)),
-v as ({_signed('"table", "column", value', f"select distinct * from ({_pairs(SHORT_COLUMNS)})", "value")}),
+v as ({_signed('"table", "column", value', _VALUES, "value")}),
 k as ({_signed("keyword", f"select * from (values {_keyword_values()}) t(keyword)", "keyword")}),
 s as (select keyword, "table", "column", value, count(*) / {T.PERMUTATIONS} as estimate from v join k using (slot, key) group by all)
 select * from (select *, cast(row_number() over (partition by keyword order by estimate desc, "table", "column", value) as integer) as rank from s) where rank <= 10"""
@@ -340,33 +335,33 @@ select * from (select *, cast(row_number() over (partition by keyword order by e
 
 @query(_MINHASH_TOP)
 def minhash_topk(spark, sf_dir):
-    return values.signature_top(values.signatures(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS)), _keywords(spark))
+    return values.signature_top(values.signatures(values.unique_values(catalog(spark, sf_dir))), _keywords(spark))
 
 
 @query(_MINHASH_TOP)
 def posting_topk(spark, sf_dir):
     index = postings.PostingIndex(spark, shared_path(spark, "postings"), buckets=2)
-    index.append(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS))
+    index.append(values.unique_values(catalog(spark, sf_dir)))
     return index.top(_keywords(spark))
 
 
-@query(f"select \"table\", \"column\", count(*) as n_rows from ({_pairs(SHORT_COLUMNS)}) where contains(lower(value), 'ation') group by all")
+@query(f"select \"table\", \"column\", count(*) as n_rows from ({_pairs(TEXT_COLUMNS)}) where contains(lower(value), 'ation') group by all")
 def like_probe(spark, sf_dir):
-    rows = catalog(spark, sf_dir).long_text(SHORT_COLUMNS)
+    rows = catalog(spark, sf_dir).long_text()
     return rows.where(F.contains(F.lower("value"), F.lit("ation"))).groupBy("table", "column").agg(F.count("*").alias("n_rows"))
 
 
 # --- similarity and retrieval ----------------------------------------------------------------------------------------------
-@query(f"with v as (select distinct * from ({_pairs(SHORT_COLUMNS)})), k as (select * from (values {_keyword_values()}) t(keyword)) select keyword as substring, \"table\", \"column\", value, round(1 - levenshtein(keyword, value) / greatest(length(keyword), length(value)), 6) as edit_similarity from v, k where 1 - levenshtein(keyword, value) / greatest(length(keyword), length(value)) >= 0.5")
+@query(f"with v as ({_VALUES}), k as (select * from (values {_keyword_values()}) t(keyword)) select keyword as substring, \"table\", \"column\", value, round(1 - levenshtein(keyword, value) / greatest(length(keyword), length(value)), 6) as edit_similarity from v, k where 1 - levenshtein(keyword, value) / greatest(length(keyword), length(value)) >= 0.5")
 def edit_filter_levenshtein(spark, sf_dir):
-    pairs = values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS).join(F.broadcast(_keywords(spark).withColumnRenamed("keyword", "substring")))
+    pairs = values.unique_values(catalog(spark, sf_dir)).join(F.broadcast(_keywords(spark).withColumnRenamed("keyword", "substring")))
     found = retrieval.edit_filter(pairs, 0.5, native=True)
     return found.select("substring", "table", "column", "value", F.round("edit_similarity", 6).alias("edit_similarity"))
 
 
 @query()
 def edit_filter_ratio(spark, sf_dir):
-    found = values.jaccard_top(values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS), _keywords(spark)).withColumnRenamed("keyword", "substring")
+    found = values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark)).withColumnRenamed("keyword", "substring")
     return retrieval.edit_filter(found).select("substring", "table", "column", "value", F.round("edit_similarity", 6).alias("edit_similarity"))
 
 
@@ -400,25 +395,47 @@ def _descriptions(spark: SparkSession) -> DataFrame:
     return raw.withColumn("column_description", files.clean_description(F.col("column_description"))).withColumn("value_description", files.clean_description(F.col("value_description")))
 
 
-@query("select * from (values ('customer','c_name','column_name','customer name'), ('customer','c_name','column_description','full name of a customer'), ('customer','c_acctbal','column_name','account balance'), ('customer','c_acctbal','column_description','money on the account'), ('customer','c_acctbal','value_description','negative means debt'), ('customer','c_mktsegment','column_name','market segment'), ('customer','c_mktsegment','value_description','AUTOMOBILE, BUILDING and others'), ('orders','o_totalprice','column_name','total price'), ('orders','o_totalprice','column_description','price of the whole order'), ('orders','o_orderdate','column_name','order date'), ('orders','o_orderdate','column_description','when the order came in'), ('part','p_type','column_name','type'), ('part','p_type','column_description','material of the part'), ('region','r_name','column_name','region name'), ('region','r_name','column_description','part of the world'), ('region','r_name','value_description','EUROPE is in capitals')) t(\"table\", \"column\", field, text)")
+def _profiled_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions as a profile of the text columns gives them."""
+    said = profile.text_profile(catalog(spark, sf_dir))
+    few = F.when(F.col("n_distinct") < 20, F.lit("not useful few values")).otherwise("")
+    counted = F.concat(F.col("n_distinct").cast("string"), F.lit(" values, "), F.col("sum_length").cast("string"), F.lit(" characters"))
+    return said.select("table", F.col("column").alias("original_column_name"), F.replace("column", F.lit("_"), F.lit(" ")).alias("column_name"), counted.alias("column_description"), files.clean_description(few).alias("value_description"))
+
+
+@query(f"""
+with p as ({_PROFILE}) select "table", "column", 'column_name' as field, replace("column", '_', ' ') as text from p
+union all select "table", "column", 'column_description', n_distinct || ' values, ' || sum_length || ' characters' from p union all select "table", "column", 'value_description', 'few values' from p where n_distinct < 20""")
 def catalog_documents(spark, sf_dir):
-    return vectors.catalog_documents(_descriptions(spark)).select("table", "column", "field", "text")
+    return vectors.catalog_documents(_profiled_descriptions(spark, sf_dir)).select("table", "column", "field", "text")
 
 
 @query()
 def column_context(spark, sf_dir):
-    documents = vectors.embedded(vectors.catalog_documents(_descriptions(spark)))
-    return retrieval.column_context(_keywords(spark, ["account balance", "region"]), documents, "Which customers of a region have the highest account balance?", "EUROPE is a region name")
+    documents = vectors.embedded(vectors.catalog_documents(_profiled_descriptions(spark, sf_dir)))
+    return retrieval.column_context(_keywords(spark, ["account balance", "region name"]), documents, "Which customers of a region have the highest account balance?", "EUROPE is a region name")
+
+
+_PACKET_KEYWORDS = "select p_name as keyword from part where p_name is not null union select 'p_type = ' || p_type from part where p_type is not null union select c_name from customer where c_name is not null"
 
 
-@query("select * from (values ('c_mktsegment = BUILDING', 'c_mktsegment = BUILDING'), ('c_mktsegment = BUILDING', 'BUILDING'), ('c_mktsegment = BUILDING', 'c_mktsegment'), ('c_mktsegment = BUILDING', '= BUILDING'), ('c_mktsegment = BUILDING', 'c_mktsegment ='), ('blue ring', 'blue ring'), ('blue ring', 'blue'), ('blue ring', 'ring'), ('ab', 'ab')) t(keyword, substring)")
+@query(f"""
+with k as ({_PACKET_KEYWORDS}), s as (select keyword, unnest(list_concat([trim(keyword), case when contains(keyword, '=') then trim(substr(keyword, strpos(keyword, '=') + 1)) end],
+    flatten(list_transform(list_filter(range(1, length(keyword) + 1), lambda i: substr(keyword, i, 1) = ' '), lambda i: [trim(substr(keyword, 1, i - 1)), trim(substr(keyword, i + 1))])))) as substring from k)
+select distinct keyword, substring from s where substring is not null and substring <> ''""")
 def search_packets(spark, sf_dir):
-    return retrieval.search_packets(_keywords(spark, ["c_mktsegment = BUILDING", "blue ring", "ab"]))
+    c = catalog(spark, sf_dir)
+    part = c.table("part")
+    own = part.select(F.col("p_name").alias("keyword")).union(part.select(F.concat(F.lit("p_type = "), "p_type"))).union(c.table("customer").select("c_name"))
+    return retrieval.search_packets(own.where("keyword is not null").distinct())
 
 
-@query("select * from (values ('c_mktsegment = BUILDING', 'c_mktsegment', 'customer', 'c_mktsegment', 1.0::double), ('MAX(COUNT(o_orderkey))', 'o_orderkey', 'orders', 'o_orderkey', 1.0::double), ('order status', 'order status', 'orders', 'o_orderstatus', 0.95::double), ('the l_tax', 'l_tax', 'lineitem', 'l_tax', 1.0::double)) t(keyword, name, \"table\", \"column\", similarity)")
+@query("select distinct 'c_mktsegment = ' || c_mktsegment as keyword, 'c_mktsegment' as name, 'customer' as \"table\", 'c_mktsegment' as \"column\", 1.0::double as similarity from customer where c_mktsegment is not null union select distinct 'MAX(o_orderstatus) = ' || o_orderstatus, 'o_orderstatus', 'orders', 'o_orderstatus', 1.0 from orders where o_orderstatus is not null")
 def keyword_column_match(spark, sf_dir):
-    found = retrieval.keyword_columns(_keywords(spark, ["c_mktsegment = BUILDING", "MAX(COUNT(o_orderkey))", "order status", "the l_tax"]), catalog(spark, sf_dir).columns())
+    c = catalog(spark, sf_dir)
+    segments = c.table("customer").select(F.concat(F.lit("c_mktsegment = "), "c_mktsegment").alias("keyword"))
+    states = c.table("orders").select(F.concat(F.lit("MAX(o_orderstatus) = "), "o_orderstatus"))
+    found = retrieval.keyword_columns(segments.union(states).where("keyword is not null").distinct(), c.columns())
     return found.withColumn("similarity", F.round("similarity", 2))
 
 
@@ -429,73 +446,105 @@ def similar_columns(spark, sf_dir):
 
 @query()
 def entity_funnel(spark, sf_dir):
-    return retrieval.similar_entities(_keywords(spark), values.unique_values(catalog(spark, sf_dir), SHORT_COLUMNS))
+    return retrieval.similar_entities(_keywords(spark), values.unique_values(catalog(spark, sf_dir)))
 
 
 # --- schema algebra --------------------------------------------------------------------------------------------------------
-_WORKING = {"CUSTOMER": ["C_Name", "nothing"], "orders": ["o_totalprice"]}
+# The selections that these queries combine are read off the data: the columns a value index takes, and those with few values.
+_FEW = f"select \"table\", \"column\" from ({_PROFILE}) where n_distinct < 20"
+
+
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.eligible(catalog(spark, sf_dir)).select(F.upper("table").alias("table"), "column")
+
+
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.text_profile(catalog(spark, sf_dir)).where("n_distinct < 20").select("table", F.upper("column").alias("column"))
 
 
-@query("select * from (values ('customer','c_custkey'), ('orders','o_orderkey'), ('orders','o_custkey')) t(\"table\", \"column\")")
+def _rows(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+
+
+_EDGES = f"(values {_rows(STAR.foreign)}) e(s, c, d, k)"
+_CONNECTIONS = f"""
+with w as (select distinct "table" as t from ({_ELIGIBLE})), own as (select "table", "column", is_primary from ({_COLUMNS}) join w on t = "table"), inside as (select * from {_EDGES} where s in (select t from w) and d in (select t from w))
+select "table", "column" from own where is_primary union select s, c from inside union select d, k from inside
+union select a."table", a."column" from own a join own b on b.is_primary and lower(b."column") = lower(a."column") and b."table" <> a."table\""""
+
+
+@query(_CONNECTIONS)
 def schema_connections(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return schema_ops.connections(c.columns(), c.edges(), schema_ops.from_map(spark, _WORKING))
+    return schema_ops.connections(c.columns(), c.edges(), _eligible(spark, sf_dir))
 
 
-@query("select * from (values ('customer','c_custkey'), ('customer','c_name'), ('orders','o_orderkey'), ('orders','o_custkey'), ('orders','o_totalprice')) t(\"table\", \"column\")")
+@query(f"{_CONNECTIONS} union select \"table\", \"column\" from ({_ELIGIBLE})")
 def schema_closure(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    return schema_ops.closure(c.columns(), c.edges(), schema_ops.from_map(spark, _WORKING))
+    return schema_ops.closure(c.columns(), c.edges(), _eligible(spark, sf_dir))
 
 
-@query("select * from (values ('customer','c_name',1,'string',false), ('orders','o_totalprice',3,'double',false)) t(\"table\", \"column\", ordinal, type, is_primary)")
+@query(f"select c.* from ({_COLUMNS}) c join ({_ELIGIBLE}) e on e.\"table\" = c.\"table\" and e.\"column\" = c.\"column\"")
 def schema_subselect(spark, sf_dir):
-    return schema_ops.subselect(catalog(spark, sf_dir).columns(), schema_ops.from_map(spark, _WORKING))
+    return schema_ops.subselect(catalog(spark, sf_dir).columns(), _eligible(spark, sf_dir))
 
 
-@query("select * from (values ('customer','c_name'), ('customer','c_acctbal'), ('orders','o_totalprice'), ('region','r_name')) t(\"table\", \"column\")")
+@query(f"select \"table\", \"column\" from ({_ELIGIBLE}) union {_FEW}")
 def schema_union(spark, sf_dir):
-    more = schema_ops.from_map(spark, {"region": ["R_NAME"], "Customer": ["c_acctbal", "C_NAME"]})
-    return schema_ops.canonical_union(catalog(spark, sf_dir).columns(), schema_ops.from_map(spark, _WORKING), more)
+    return schema_ops.canonical_union(catalog(spark, sf_dir).columns(), _eligible(spark, sf_dir), _few(spark, sf_dir))
+
+
+_MISSING = f"""
+with g as (select "table", "column" from ({_ELIGIBLE})), w as ({_FEW})
+select distinct "table", cast(null as varchar) as "column" from g where "table" not in (select "table" from w)
+union all select "table", "column" from g where "table" in (select "table" from w) and ("table", "column") not in (select ("table", "column") from w)"""
+
 
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.eligible(catalog(spark, sf_dir)).select("table", "column")
 
-@query("select * from (values ('nation', null), ('orders', 'o_orderdate')) t(\"table\", \"column\")")
+
+@query(_MISSING)
 def missing_columns(spark, sf_dir):
-    gold = schema_ops.from_map(spark, {"orders": ["o_orderdate", "O_TOTALPRICE"], "nation": ["n_name"], "customer": ["c_name"]})
-    return schema_ops.missing(gold, schema_ops.from_map(spark, _WORKING))
+    return schema_ops.missing(_gold(spark, sf_dir), _few(spark, sf_dir))
 
 
-@query("select * from (values ('nation', 'orders.o_orderdate', 'incorrect', 'incorrect')) t(missing_tables, missing_columns, tables_status, columns_status)")
+@query(
+    f"select coalesce(string_agg(\"table\", ',' order by \"table\") filter (where \"column\" is null), '') as missing_tables, coalesce(string_agg(\"table\" || '.' || \"column\", ',' order by \"table\" || '.' || \"column\") filter (where \"column\" is not null), '') as missing_columns, "
+    f"case when count(*) filter (where \"column\" is null) = 0 then 'correct' else 'incorrect' end as tables_status, case when count(*) filter (where \"column\" is not null) = 0 then 'correct' else 'incorrect' end as columns_status from ({_MISSING})"
+)
 def schema_status(spark, sf_dir):
-    gold = schema_ops.from_map(spark, {"orders": ["o_orderdate", "O_TOTALPRICE"], "nation": ["n_name"], "customer": ["c_name"]})
-    row = schema_ops.schema_status(gold, schema_ops.from_map(spark, _WORKING))
+    row = schema_ops.schema_status(_gold(spark, sf_dir), _few(spark, sf_dir))
     return row.withColumn("missing_tables", F.array_join("missing_tables", ",")).withColumn("missing_columns", F.array_join("missing_columns", ","))
 
 
-@query("select * from (values ('customer','c_name','string','customer name'), ('orders','o_totalprice','double','total price')) t(\"table\", \"column\", type, column_name)")
+@query(f"select c.\"table\", c.\"column\", c.type, replace(c.\"column\", '_', ' ') as column_name from ({_COLUMNS}) c join ({_ELIGIBLE}) e on e.\"table\" = c.\"table\" and e.\"column\" = c.\"column\"")
 def schema_merge_info(spark, sf_dir):
-    base = schema_ops.subselect(catalog(spark, sf_dir).columns(), schema_ops.from_map(spark, _WORKING))
-    info = _descriptions(spark).select(F.upper("table").alias("table"), F.col("original_column_name").alias("column"), "column_name")
+    base = schema_ops.subselect(catalog(spark, sf_dir).columns(), _eligible(spark, sf_dir))
+    info = _profiled_descriptions(spark, sf_dir).select(F.upper("table").alias("table"), F.col("original_column_name").alias("column"), "column_name")
     return schema_ops.add_info(base, info, ["column_name"]).select("table", "column", "type", "column_name")
 
 
-@query("select * from (values ('orders','o_orderkey','first' || chr(10) || '----' || chr(10) || 'second'), ('Customer','c_name','first' || chr(10) || '----' || chr(10) || 'second')) t(\"table\", \"column\", reasoning)")
+@query("""
+with r as (select cast(substr(o_orderpriority, 1, 1) as integer) as ord, case when cast(substr(o_orderpriority, 1, 1) as integer) % 2 = 0 then 'ORDERS' else 'orders' end as t,
+    case when cast(substr(o_orderpriority, 1, 1) as integer) % 2 = 0 then lower(o_orderstatus) else o_orderstatus end as c from orders),
+said as (select string_agg('priority ' || ord || ': ' || n, chr(10) || '----' || chr(10) order by ord) as reasoning from (select ord, count(*) as n from r group by ord))
+select arg_min(t, (ord, t, c)) as "table", arg_min(c, (ord, t, c)) as "column", any_value(reasoning) as reasoning from r, said group by lower(t), lower(c)""")
 def response_union(spark, sf_dir):
-    rows = [(0, "orders", "o_orderkey", "first"), (1, "ORDERS", "O_ORDERKEY", "second"), (0, "Customer", "c_name", "first"), (1, "customer", "C_NAME", "second")]
-    return schema_ops.merge_responses(spark.createDataFrame(rows, "ord int, table string, column string, reasoning string"))
-
-
-def _rows(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{v}'" for v in r) + ")" for r in rows)
+    rows = catalog(spark, sf_dir).table("orders").select(F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("int").alias("ord"), "o_orderstatus")
+    said = rows.groupBy("ord").agg(F.concat(F.lit("priority "), F.col("ord").cast("string"), F.lit(": "), F.count("*").cast("string")).alias("reasoning"))
+    even = F.col("ord") % 2 == 0
+    columns = rows.distinct().select("ord", F.when(even, "ORDERS").otherwise("orders").alias("table"), F.when(even, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus")).alias("column"))
+    return schema_ops.merge_responses(columns.join(said, "ord"))
 
 
-# What _descriptions says once cleaned; keys between tables; the columns of the schema text below.
+# What _descriptions says once cleaned; the columns of the schema text below.
 _DESCRIBED = f"""(values {_rows([
     ("customer", "c_name", "customer name", "full name of a customer", ""), ("customer", "c_acctbal", "account balance", "money on the account", "negative means debt"),
     ("customer", "c_mktsegment", "market segment", "", "AUTOMOBILE, BUILDING and others"), ("orders", "o_totalprice", "total price", "price of the whole order", ""),
     ("orders", "o_orderdate", "order date", "when the order came in", ""), ("part", "p_type", "type", "material of the part", ""), ("region", "r_name", "region name", "part of the world", "EUROPE is in capitals"),
 ])}) d(t, c, meaning, said, coded)"""
-_EDGES = f"(values {_rows(STAR.foreign)}) e(s, c, d, k)"
 _SHOWN = [("customer", "c_custkey"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_totalprice")]
 
 
@@ -655,10 +704,17 @@ def stage_statistics(spark, sf_dir):
     return results.statistics(rows).select("stage", "n_correct", "n_incorrect", "n_error", "total", "accuracy")
 
 
-@query("select * from (values (0, 'b', 'SYNTACTICALLY_CORRECT'), (1, 'c', 'ZERO_COUNT_RESULT'), (2, 'a', 'EMPTY_RESULT')) t(question_id, sql, status)")
+@query(f"""
+with e as (select user_id as question_id, cast(row_number() over (partition by user_id order by ts, event_id) as integer) as step, event_type || event_id as sql,
+    case event_type when 'purchase' then '{results.CORRECT}' when 'view' then '{results.ZERO}' else '{results.EMPTY}' end as status from events where user_id % 3 > 0 or event_type not in ('purchase', 'view')),
+s as (select *, case status when '{results.CORRECT}' then 2 when '{results.ZERO}' then 1 else 0 end as score from e)
+select question_id, sql, status from (select *, row_number() over (partition by question_id order by score desc, case when score > 0 then step else -step end desc) as n from s) where n = 1""")
 def final_sql_ladder(spark, sf_dir):
-    rows = [(0, 0, "a", results.WRONG), (0, 1, "b", results.CORRECT), (0, 2, "c", results.EMPTY), (1, 0, "a", results.EMPTY), (1, 1, "c", results.ZERO), (2, 0, "a", results.EMPTY), (2, 1, "b", results.WRONG)]
-    return results.final_by_ladder(spark.createDataFrame(rows, "question_id int, step int, sql string, status string")).select("question_id", "sql", "status")
+    rows = catalog(spark, sf_dir).table("events").where("user_id % 3 > 0 or event_type not in ('purchase', 'view')")  # a third of the questions has no better status
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    status = F.when(F.col("event_type") == "purchase", results.CORRECT).when(F.col("event_type") == "view", results.ZERO).otherwise(results.EMPTY)
+    asked = rows.select(F.col("user_id").alias("question_id"), step.alias("step"), F.concat("event_type", F.col("event_id").cast("string")).alias("sql"), status.alias("status"))
+    return results.final_by_ladder(asked).select("question_id", "sql", "status")
 
 
 @query("select conv_id, turn, md5(text) as said, md5(next_text) as answered from (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as next_text from conversations) where next_text is not null")
@@ -667,15 +723,18 @@ def conversation_pairs(spark, sf_dir):
     return rows.select("conv_id", "turn", F.md5("text").alias("said"), F.md5("next_text").alias("answered"))
 
 
-@query("select * from (values (1, '1,0,1'), (2, '0')) t(id, scores)")
+@query("select doc_id as id, cast(cast(quality = 1 as integer) as varchar) || ',' || cast(cast(toxic = 1 as integer) as varchar) as scores from labels where quality is not null and toxic is not null")
 def verdict_parser(spark, sf_dir):
-    rows = [(1, "thinking\n<Answer>\nCandidate #1: Passed\nCandidate #2: failed\nnothing here\nCandidate #3: PASSED well\n</Answer>"), (2, "<Answer>Candidate #1: Failed</Answer>")]
-    return spark.createDataFrame(rows, "id int, answer string").select("id", F.array_join(F.transform(verdict_column(F.col("answer")), lambda x: x.cast("string")), ",").alias("scores"))
+    rows = catalog(spark, sf_dir).table("labels").where("quality is not null and toxic is not null")
+    first, second = F.when(F.col("quality") == 1, "Passed").otherwise("failed"), F.when(F.col("toxic") == 1, "PASSED well").otherwise("Failed")
+    answer = F.concat(F.lit("thinking\n<Answer>\nCandidate #1: "), first, F.lit("\nnothing here\nCandidate #2: "), second, F.lit("\n</Answer>"))
+    return rows.select(F.col("doc_id").alias("id"), F.array_join(F.transform(verdict_column(answer), lambda x: x.cast("string")), ",").alias("scores"))
 
 
-@query("select * from (values (1, 'SELECT a FROM t'), (2, null)) t(id, sql)")
+@query("select doc_id as id, case when quality = 1 then 'SELECT ' || doc_id || ' FROM labels' end as sql from labels")
 def final_sql_parser(spark, sf_dir):
-    return spark.createDataFrame([(1, "plan\n<FINAL_ANSWER>```sql\nSELECT a\nFROM t\n```</FINAL_ANSWER>"), (2, "none")], "id int, answer string").select("id", final_sql_column(F.col("answer")).alias("sql"))
+    said = F.concat(F.lit("plan\n<FINAL_ANSWER>```sql\nSELECT "), F.col("doc_id").cast("string"), F.lit("\nFROM labels\n```</FINAL_ANSWER>"))
+    return catalog(spark, sf_dir).table("labels").select(F.col("doc_id").alias("id"), final_sql_column(F.when(F.col("quality") == 1, said).otherwise("none")).alias("sql"))
 
 
 # --- question sets ---------------------------------------------------------------------------------------------------------
