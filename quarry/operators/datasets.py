@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from quarry.sources.shared import shared_path
 
 
 def first_occurrence(frame: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -33,11 +38,17 @@ def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(frame: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Rows with their place in an order, without a single-task window: places within sorted ranges plus the ranges' starts."""
-    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    schema = ranged.drop("_part").schema
-    at = ranged.drop("_part").rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return frame.sparkSession.createDataFrame(at, schema.add(name, "long"))
+    """Rows with their place in an order of unique keys: places within sorted ranges plus the rows of the ranges before, of which one number a range
+    goes to the driver. The ranges are written once to the shared folder, so a task that runs again gives the same places."""
+    spark, path = frame.sparkSession, shared_path(frame.sparkSession, "ranges")
+    frame.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.schema(StructType([*frame.schema.fields, StructField("_part", IntegerType())])).parquet(path)
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_part").count().collect())
+    before = itertools.accumulate([n for _, n in sizes], initial=0)
+    starts = spark.createDataFrame([(k, b) for (k, _), b in zip(sizes, before, strict=False)], "_part int, _before long")
+    line = Window.partitionBy("_part").orderBy(*order)
+    placed = dealt.withColumn(name, F.row_number().over(line) - 1).join(F.broadcast(starts), "_part")
+    return placed.select(*frame.columns, (F.col(name) + F.col("_before")).alias(name))
 
 
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:

@@ -57,8 +57,13 @@ def with_timeout(spark: SparkSession, work, timeout: float) -> Any:
     return out["value"]
 
 
-def run_sql(spark: SparkSession, sql: str, fetch: str | int = "all", timeout: float = 60, sqlite: bool = True) -> Any:
-    """Rows as tuples: "all", "one" (a tuple or None), "random" (one of the first ten) or at most n."""
+#: Rows that "all" takes to the driver unless more are asked for.
+MOST_ROWS = 100_000
+
+
+def run_sql(spark: SparkSession, sql: str, fetch: str | int = "all", timeout: float = 60, sqlite: bool = True, most: int | None = MOST_ROWS) -> Any:
+    """Rows as tuples: "all", "one" (a tuple or None), "random" (one of the first ten) or at most n. "all" fails for results of over ``most`` rows, which
+    belong in ``frame``; None lifts that."""
     if fetch not in ("all", "one", "random") and not isinstance(fetch, int):
         raise ValueError("fetch must be 'all', 'one', 'random' or a number")
 
@@ -70,7 +75,12 @@ def run_sql(spark: SparkSession, sql: str, fetch: str | int = "all", timeout: fl
         if fetch == "random":
             got = result.limit(10).orderBy(F.rand()).head(1)
             return tuple(got[0]) if got else None
-        return [tuple(r) for r in (result.head(fetch) if isinstance(fetch, int) else result.collect())]
+        if isinstance(fetch, int):
+            return [tuple(r) for r in result.head(fetch)]
+        got = result.collect() if most is None else result.head(most + 1)
+        if most is not None and len(got) > most:
+            raise ValueError(f"the result has over {most} rows")
+        return [tuple(r) for r in got]
 
     return with_timeout(spark, work, timeout)
 

@@ -12,7 +12,7 @@ from quarry.functions import text as T
 from quarry.functions.parsers import final_sql_column, verdict_column
 from quarry.operators import datasets, keys, postings, profile, results, retrieval, schema_ops, time_joins, values, vectors
 from quarry.plans import lineage as L
-from quarry.plans import sqlrun
+from quarry.plans import sqlrun, table_functions
 from quarry.plans.dialect import bridge
 from quarry.sources import files
 from quarry.sources.catalog import SHOP, STAR, TABLES, Catalog
@@ -162,6 +162,7 @@ _sql(
     "SELECT arg_min(c.c_name, c.c_acctbal) AS name, arg_min(n.n_name, c.c_acctbal) AS n_name, MIN(c.c_acctbal) AS least FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey",
 )
 
+_sql("sql_concat_ordered", "SELECT n_regionkey, GROUP_CONCAT(n_name, ' > ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ' > ' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
 _sql(
     "sql_json_each",
     "SELECT e.event_type, j.key AS name, j.type AS kind, COUNT(*) AS n, SUM(CAST(j.value AS INTEGER)) AS total FROM events e, json_each(e.props) AS j GROUP BY e.event_type, j.key, j.type",
@@ -783,9 +784,39 @@ def prediction_split(spark, sf_dir):
     return made.select("doc_id", files.predicted_sql(F.col("p")).alias("sql"))
 
 
-@query()
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, md5(concat_ws('|', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)) as h from lineitem) order by h, l_orderkey, l_linenumber, l_partkey, l_suppkey limit 1000")
 def sampled_table(spark, sf_dir):
-    return catalog(spark, sf_dir).sample("lineitem", 1000).select("l_orderkey", "l_partkey", "l_quantity")
+    by = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return catalog(spark, sf_dir).sample("lineitem", 1000, by=by).select(*by)
+
+
+@query("select cast(doc_id as varchar) as question_id, case when quality = 1 then 'SELECT ' || doc_id || ' + 1' else 'SELECT ' || doc_id end as sql from labels")
+def predictions_upsert(spark, sf_dir):
+    path, labels = shared_path(spark, "predictions"), catalog(spark, sf_dir).table("labels").dropDuplicates(["doc_id"])
+    finals = labels.select(F.col("doc_id").alias("question_id"), F.lit("db").alias("db_id"), F.concat(F.lit("SELECT "), F.col("doc_id").cast("string")).alias("sql"), "quality")
+    files.commit_predictions(spark, finals, path)
+    files.commit_predictions(spark, finals.where("quality = 1").withColumn("sql", F.concat("sql", F.lit(" + 1"))), path)
+    return files.read_predictions(spark, path).select("question_id", files.predicted_sql(F.col("prediction")).alias("sql"))
+
+
+@query("""
+with k as (select text as keyword from conversations where text is not null), s as (select keyword, unnest(list_concat([trim(keyword), case when contains(keyword, '=') then trim(substr(keyword, strpos(keyword, '=') + 1)) end],
+    flatten(list_transform(list_filter(range(1, length(trim(keyword)) + 1), lambda i: substr(trim(keyword), i, 1) = ' '), lambda i: [trim(substr(trim(keyword), 1, i - 1)), trim(substr(trim(keyword), i + 1))])))) as substring from k)
+select md5(keyword) as keyword, count(distinct substring) as n_packets, max(length(substring)) as longest, cast(sum(distinct length(substring)) as bigint) as lengths from s where substring is not null and substring <> '' group by keyword""")
+def sql_packets_function(spark, sf_dir):
+    catalog(spark, sf_dir).register()
+    table_functions.register(spark)
+    text = "SELECT md5(keyword) AS keyword, count(DISTINCT substring) AS n_packets, max(length(substring)) AS longest, sum(DISTINCT length(substring)) AS lengths FROM search_packets(TABLE(SELECT text AS said FROM conversations), 'said') GROUP BY keyword"
+    return sqlrun.frame(spark, text, sqlite=False)
+
+
+@query("""
+with e as (select cast(user_id as varchar) as question, event_id as ord, event_type as digest from events)
+select question, cast(ord as integer) as ord, cast(count(*) over (partition by question, digest) as integer) as cluster_size, cast(min(ord) over (partition by question, digest) as integer) as cluster_first from e""")
+def sql_clusters_function(spark, sf_dir):
+    catalog(spark, sf_dir).register()
+    table_functions.register(spark)
+    return sqlrun.frame(spark, "SELECT * FROM result_clusters(TABLE(SELECT user_id, event_id, event_type FROM events), 'user_id', 'event_id', 'event_type')", sqlite=False)
 
 
 # --- joins by time ---------------------------------------------------------------------------------------------------------

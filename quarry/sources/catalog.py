@@ -114,9 +114,12 @@ class Catalog:
             out = one if out is None else out.unionByName(one)
         return out if out is not None else self.spark.createDataFrame([], "table string, column string, value string")
 
-    def sample(self, table: str, rows: int, seed: int = 42) -> DataFrame:
-        """Exactly ``rows`` rows (all, if fewer) in random order; a top-k by a seeded hash, so a rerun takes the same."""
+    def sample(self, table: str, rows: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+        """Exactly ``rows`` rows (all, if fewer) in random order; a top-k by a seeded hash of the row, or of the text of the columns ``by``, so a
+        rerun takes the same."""
         frame = self.table(table)
+        if by is not None:
+            return frame.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in by])), *by).limit(rows)
         return frame.orderBy(F.xxhash64(F.lit(seed), *frame.columns), *[c for c, k in frame.dtypes if not k.startswith("map")]).limit(rows)
 
     def write_sample(self, path: str, rows: int, seed: int = 42) -> None:

@@ -7,6 +7,8 @@ import io
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from quarry.sources.versioned import VersionedTable
 from pyspark.sql import types as T
 
 DESCRIPTION_FIELDS = ("original_column_name", "column_name", "column_description", "data_format", "value_description")
@@ -97,6 +99,21 @@ def finished(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+PREDICTED = "question_id string, prediction string"
+
+
+def commit_predictions(spark: SparkSession, finals: DataFrame, path: str) -> int:
+    """Puts predictions into a versioned table by question_id: runs that write at once lose nothing, readers see whole versions. Returns the version."""
+    rows = finals.select(F.col("question_id").cast("string").alias("question_id"), prediction(F.col("sql"), F.col("db_id")).alias("prediction"))
+    return VersionedTable(spark, path).upsert(rows, ["question_id"])
+
+
+def read_predictions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """question_id, prediction of a version, the last by default; none before the first."""
+    table = VersionedTable(spark, path)
+    return table.read(version) if table.versions() else spark.createDataFrame([], PREDICTED)
+
+
 def write_json_array(frame: DataFrame, path: str, order: list[str]) -> None:
     """All rows as one JSON array in a text file: for what people read (statistics, schemas of a few questions), not for data."""
     kept = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*frame.columns), {"ignoreNullFields": "false"}).alias("_json"))
