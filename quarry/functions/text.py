@@ -140,9 +140,63 @@ def similarity_ratio(a: str | None, b: str | None) -> float:
     return difflib.SequenceMatcher(None, a or "", b or "").ratio()
 
 
+#: Second texts from this length on have frequent characters that count for less, which is left to the library; cells of one search.
+LONG_TEXT, CELLS = 200, 2_000_000
+
+
+def _matched(a: list[str], b: list[str]) -> np.ndarray:
+    """How many characters of each pair of texts match: of all stretches at once the longest equal block, the first of equal ones, then what lies
+    before and after it, as long as there are stretches left."""
+    out = np.zeros(len(a), np.int64)
+    widths = max(map(len, a), default=0), max(map(len, b), default=0)
+    if not len(a) or not min(widths):
+        return out
+    x, y = (np.array([[ord(c) for c in t.ljust(w, "\0")] for t in own], np.int32) for own, w in ((a, widths[0]), (b, widths[1])))
+    open_ = np.array([(k, 0, len(p), 0, len(q)) for k, (p, q) in enumerate(zip(a, b, strict=True)) if p and q], np.int64).reshape(-1, 5)
+    while len(open_):
+        pair, a_lo, a_hi, b_lo, b_hi = open_.T
+        n, m = int((a_hi - a_lo).max()), int((b_hi - b_lo).max())
+        places = np.arange(m)
+        there = y[pair[:, None], np.minimum(b_lo[:, None] + places, y.shape[1] - 1)]
+        inside = b_lo[:, None] + places < b_hi[:, None]
+        run = np.zeros((len(open_), m), np.int32)
+        size, at_a, at_b = (np.zeros(len(open_), np.int64) for _ in range(3))
+        for i in range(n):
+            own = x[pair, np.minimum(a_lo + i, x.shape[1] - 1)]
+            same = (there == own[:, None]) & inside & (a_lo + i < a_hi)[:, None]
+            shifted = np.zeros_like(run)
+            shifted[:, 1:] = run[:, :-1]
+            run = np.where(same, shifted + 1, 0)
+            j = run.argmax(1)
+            best = run[np.arange(len(run)), j]
+            longer = best > size
+            size, at_a, at_b = np.where(longer, best, size), np.where(longer, a_lo + i + 1 - best, at_a), np.where(longer, b_lo + j + 1 - best, at_b)
+        np.add.at(out, pair, size)
+        met = size > 0
+        before = np.stack([pair, a_lo, at_a, b_lo, at_b], 1)[met]
+        after = np.stack([pair, at_a + size, a_hi, at_b + size, b_hi], 1)[met]
+        open_ = np.concatenate([before, after])
+        open_ = open_[(open_[:, 1] < open_[:, 2]) & (open_[:, 3] < open_[:, 4])]
+    return out
+
+
+def similarity_ratios(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """``similarity_ratio`` of many pairs: equal pairs once, pairs of like lengths together."""
+    pairs = list(zip(("" if p is None else p for p in a), ("" if q is None else q for q in b), strict=True))
+    distinct = list(dict.fromkeys(pairs))
+    made = {p: similarity_ratio(*p) for p in distinct if len(p[1]) >= LONG_TEXT or "\0" in p[0] + p[1]}
+    short = sorted((p for p in distinct if p not in made), key=lambda p: (len(p[0]), len(p[1])))
+    while short:
+        widest = max(1, len(short[-1][0])) * max(1, max(len(p[1]) for p in short))
+        run, short = short[: max(1, CELLS // widest)], short[max(1, CELLS // widest) :]
+        matched = _matched([p for p, _ in run], [q for _, q in run])
+        made |= {p: 2.0 * int(n) / (len(p[0]) + len(p[1])) if p[0] or p[1] else 1.0 for p, n in zip(run, matched, strict=True)}
+    return np.array([made[p] for p in pairs])
+
+
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    return pd.Series(similarity_ratios(a.tolist(), b.tolist()), dtype=float)
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

@@ -308,11 +308,14 @@ def value_ngrams(spark, sf_dir):
     return own.select("table", "column", F.explode(T.ngrams(F.col("value"))).alias("gram")).groupBy("table", "column", "gram").agg(F.count("*").alias("n_values"))
 
 
-@query(f"""
+_JACCARD_TOP = f"""
 with v as (select *, {_GRAMS.format('value')} as grams from ({_VALUES})),
 k as (select keyword, {_GRAMS.format('keyword')} as own from (values {_keyword_values()}) t(keyword)),
 s as (select keyword, "table", "column", value, round(len(list_intersect(grams, own)) / len(list_distinct(list_concat(grams, own))), 6) as jaccard from v, k where len(list_intersect(grams, own)) > 0)
-select * from (select *, cast(row_number() over (partition by keyword order by jaccard desc, "table", "column", value) as integer) as rank from s) where rank <= 10""")
+select * from (select *, cast(row_number() over (partition by keyword order by jaccard desc, "table", "column", value) as integer) as rank from s) where rank <= 10"""
+
+
+@query(_JACCARD_TOP)
 def ngram_jaccard_topk(spark, sf_dir):
     return values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark))
 
@@ -360,7 +363,20 @@ def edit_filter_levenshtein(spark, sf_dir):
     return found.select("substring", "table", "column", "value", F.round("edit_similarity", 6).alias("edit_similarity"))
 
 
-@query()
+# Ratcliff and Obershelp's ratio: of the first open stretch the longest equal block, the first of equal ones; then what lies beside it is open.
+_PREFIX = "len(list_filter(range(1, least(segs[1].ah - i, segs[1].bh - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n)))"
+_BLOCK = f"list_sort(flatten(list_transform(range(segs[1].al, segs[1].ah), lambda i: list_transform(range(segs[1].bl, segs[1].bh), lambda j: {{'k': {_PREFIX}, 'i': -i, 'j': -j}}))), 'DESC')[1]"
+_RATIOS = f"""
+t as ({_JACCARD_TOP}),
+r(a, b, segs, total) as (
+  select distinct keyword, value, [{{'al': 0::bigint, 'ah': length(keyword), 'bl': 0::bigint, 'bh': length(value)}}], 0::bigint from t
+  union all
+  select a, b, case when coalesce(x.k, 0) = 0 then segs[2:] else list_concat(segs[2:], list_filter([
+      {{'al': segs[1].al, 'ah': -x.i, 'bl': segs[1].bl, 'bh': -x.j}}, {{'al': x.k - x.i, 'ah': segs[1].ah, 'bl': x.k - x.j, 'bh': segs[1].bh}}], lambda s: s.al < s.ah and s.bl < s.bh)) end, total + coalesce(x.k, 0)
+  from (select *, {_BLOCK} as x from r where len(segs) > 0))"""
+
+
+@query(f"with recursive {_RATIOS} select keyword as substring, \"table\", \"column\", value, round(2.0::double * total / (length(a) + length(b)), 6) as edit_similarity from t join r on a = keyword and b = value and len(segs) = 0 where 2.0::double * total / (length(a) + length(b)) >= 0.3")
 def edit_filter_ratio(spark, sf_dir):
     found = values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark)).withColumnRenamed("keyword", "substring")
     return retrieval.edit_filter(found).select("substring", "table", "column", "value", F.round("edit_similarity", 6).alias("edit_similarity"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.sources.versioned import VersionedTable
-from pyspark.sql import types as T
 
 DESCRIPTION_FIELDS = ("original_column_name", "column_name", "column_description", "data_format", "value_description")
 TASK_SCHEMA = "question_id long, db_id string, question string, evidence string, SQL string, difficulty string"
@@ -33,21 +36,23 @@ def joined_description(*parts: Column) -> Column:
 def read_descriptions(spark: SparkSession, directory: str) -> DataFrame:
     """table (lower-case file name) and the cleaned description fields of every CSV file of a directory.
 
-    Files are UTF-8, with or without a mark; a file whose bytes are not is read as Windows-1252.
+    Files are UTF-8, with or without a mark; a file whose bytes are not is read as Windows-1252. Tasks read the files, so there may be many.
     """
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select("path", "content").collect()  # a few small files of metadata
-    rows = []
-    for path, content in sorted((r[0], bytes(r[1])) for r in found):
-        try:
-            text = content.decode("utf-8-sig")
-        except UnicodeDecodeError:
-            text = content.decode("cp1252", "replace")
-        table = path.rsplit("/", 1)[-1][: -len(".csv")].lower()
-        for row in csv.DictReader(io.StringIO(text, newline="")):
-            own = {(k or "").strip().lower(): v for k, v in row.items()}
-            if "original_column_name" in own:
-                rows.append((table, *[own.get(f) or "" for f in DESCRIPTION_FIELDS]))
-    raw = spark.createDataFrame(rows, "table string, " + ", ".join(f"{f} string" for f in DESCRIPTION_FIELDS))
+    names = ["table", *DESCRIPTION_FIELDS]
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    text = bytes(content).decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = bytes(content).decode("cp1252", "replace")
+                rows = ({(k or "").strip().lower(): v for k, v in row.items()} for row in csv.DictReader(io.StringIO(text, newline="")))
+                table = unquote(path).rsplit("/", 1)[-1][: -len(".csv")].lower()
+                yield pd.DataFrame([(table, *[own.get(f) or "" for f in DESCRIPTION_FIELDS]) for own in rows if "original_column_name" in own], columns=names)
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory).select("path", "content")
+    raw = found.mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
     return raw.select("table", *[(clean_description(F.col(f)) if f in ("column_description", "value_description") else F.trim(f)).alias(f) for f in DESCRIPTION_FIELDS])
 
 
