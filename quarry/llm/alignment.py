@@ -30,7 +30,7 @@ from quarry.llm.words import blocks, cut, independent, last_bytes, token_bytes,
 
 A_PATH, B_PATH = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: A batch ends at so many characters; so many short stretches are remembered between batches.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 REMEMBERED = 400_000
 LONGEST = 64
 SPACE = "▁"
