@@ -135,6 +135,12 @@ def statistics(evaluated: DataFrame) -> DataFrame:
     return counted.withColumn("accuracy", F.round(F.col("n_correct") / F.col("total"), 6))
 
 
+def outcomes(evaluated: DataFrame) -> DataFrame:
+    """stage, outcome (correct, incorrect or error) and id (database/question) of every evaluation, as rows for runs of any size."""
+    outcome = F.when(F.col("exec_res") == 1, "correct").when(F.col("exec_err") == "incorrect answer", "incorrect").otherwise("error")
+    return evaluated.select("stage", outcome.alias("outcome"), F.concat_ws("/", "db_id", F.col("question_id").cast("string")).alias("id"))
+
+
 def rendered(result: DataFrame, rows: int = 20) -> str:
     """Row and column counts and the first rows, as text for a prompt."""
     shown = [tuple(r) for r in result.limit(rows).collect()]

@@ -198,6 +198,23 @@ def structured(schema: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(keys, F.lower("table") == F.lower("_s"), "left").drop("_s")
 
 
+def structured_questions(full: DataFrame, edges: DataFrame, questions: DataFrame, selected: DataFrame) -> DataFrame:
+    """A row a question and table of its schema: the questions' columns, then table, columns, primary_keys and foreign_keys (those whose both ends
+    are in the question's schema). ``questions``: question_id, question, evidence and others; ``selected``: question_id, table, column."""
+    chosen = selected.select("question_id", F.lower("table").alias("_t"), F.lower("column").alias("_c")).distinct()
+    rows = _keyed(full).join(chosen, ["_t", "_c"])
+    place = F.coalesce("ordinal", F.lit(0)) if "ordinal" in full.columns else F.lit(0)
+    by_place = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("o"), F.col("column").alias("c")))), lambda x: x.c)
+    own = rows.groupBy("question_id", "table").agg(by_place.alias("columns"), F.array_sort(F.collect_list(F.when(F.col("is_primary"), F.col("column")))).alias("primary_keys"))
+    ends = edges.select("*", *[F.lower(c).alias(f"_{c}") for c in ("src_table", "src_column", "dst_table", "dst_column")])
+    source = chosen.join(ends, (F.col("_t") == F.col("_src_table")) & (F.col("_c") == F.col("_src_column"))).drop("_t", "_c")
+    target = chosen.select(F.col("question_id").alias("_q"), F.col("_t").alias("_dt"), F.col("_c").alias("_dc"))
+    inside = source.join(target, (F.col("question_id") == F.col("_q")) & (F.col("_dst_table") == F.col("_dt")) & (F.col("_dst_column") == F.col("_dc")), "left_semi")
+    keys = inside.groupBy(F.col("question_id").alias("_q"), F.col("_src_table").alias("_s")).agg(F.array_sort(F.collect_set(F.struct("src_column", "dst_table", "dst_column"))).alias("foreign_keys"))
+    made = own.join(keys, (F.col("question_id") == F.col("_q")) & (F.lower("table") == F.col("_s")), "left").drop("_q", "_s")
+    return questions.join(made, "question_id")
+
+
 def column_profiles(schema: DataFrame, edges: DataFrame, with_keys: bool = False, with_references: bool = False) -> DataFrame:
     """table, column, profile: a text block for each column; key columns only if asked for."""
     schema = _filled(schema)

@@ -373,10 +373,31 @@ def schema_for_queries(db: Engineered, queries: list[str]) -> dict[str, list[str
     return schema_ops.to_map(schema_ops.canonical_union(db.catalog.columns(), schema_ops.from_map(db.spark, own))) if own else {}
 
 
-def preprocess(catalog: Catalog, path: str, descriptions: DataFrame | None = None) -> None:
-    """Builds and stores a database's indexes: values with signatures and, with descriptions, embedded catalog documents."""
+def preprocess(catalog: Catalog, path: str, descriptions: DataFrame | None = None, postings: bool = False) -> None:
+    """Builds and stores a database's indexes: values with signatures (``postings``: as an inverted index too, to which another call adds what
+    is new) and, with descriptions, embedded catalog documents."""
+    from quarry.operators.postings import PostingIndex
     from quarry.operators.values import write_index
 
-    write_index(unique_values(catalog), f"{path}/values")
+    found = unique_values(catalog)
+    write_index(found, f"{path}/values")
+    if postings:
+        PostingIndex(catalog.spark, f"{path}/postings").append(found)
     if descriptions is not None:
         V.embedded(V.catalog_documents(descriptions)).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def open_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The embedded catalog documents that ``preprocess`` stored, for ``retrieval.column_context`` and ``vectors.nearest_columns``."""
+    return spark.read.parquet(f"{path}/documents")
+
+
+def preprocess_all(catalogs: dict[str, Catalog], root: str, descriptions: dict[str, DataFrame] | None = None, postings: bool = False) -> dict[str, Exception]:
+    """Preprocesses databases by name, each under ``root``; one that fails does not stop the others. Returns what failed."""
+    failed: dict[str, Exception] = {}
+    for name, catalog in catalogs.items():
+        try:
+            preprocess(catalog, f"{root.rstrip('/')}/{name}", (descriptions or {}).get(name), postings)
+        except Exception as e:  # noqa: BLE001  said in the result
+            failed[name] = e
+    return failed

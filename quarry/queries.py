@@ -721,6 +721,31 @@ def stage_statistics(spark, sf_dir):
     return results.statistics(rows).select("stage", "n_correct", "n_incorrect", "n_error", "total", "accuracy")
 
 
+@query(f"select stage, case when toxic = 0 then 'correct' when question_id % 2 = 0 then 'incorrect' else 'error' end as outcome, 'db/' || question_id as id from ({_STAGED})")
+def stage_outcomes(spark, sf_dir):
+    rows = catalog(spark, sf_dir).table("labels").select(F.when(F.col("quality") == 1, "candidate").otherwise("revise").alias("stage"), F.lit("db").alias("db_id"), F.col("doc_id").alias("question_id"), (1 - F.col("toxic")).alias("exec_res"), F.when(F.col("toxic") == 0, "--").when(F.col("doc_id") % 2 == 0, "incorrect answer").otherwise("timeout").alias("exec_err"))
+    return results.outcomes(rows)
+
+
+# A question a label; good ones are about customers and their nations, the others about orders.
+_QUESTION_SCHEMAS = {1: [("customer", "c_name"), ("customer", "c_nationkey"), ("nation", "n_nationkey")], 0: [("orders", "o_orderkey"), ("orders", "o_custkey")]}
+
+
+@query("""
+with q as (select distinct doc_id as question_id, 'question ' || doc_id as question, coalesce(quality, 0) as kind from labels)
+select question_id, question, 'hint' as evidence, 'customer' as "table", 'c_name,c_nationkey' as columns, '' as primary_keys, 'c_nationkey=nation.n_nationkey' as foreign_keys from q where kind = 1
+union all select question_id, question, 'hint', 'nation', 'n_nationkey', 'n_nationkey', '' from q where kind = 1
+union all select question_id, question, 'hint', 'orders', 'o_orderkey,o_custkey', 'o_orderkey', '' from q where kind = 0""")
+def structured_questions(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    labels = c.table("labels").select(F.col("doc_id").alias("question_id"), F.coalesce("quality", F.lit(0)).alias("kind")).distinct()
+    asked = labels.select("question_id", F.concat(F.lit("question "), F.col("question_id").cast("string")).alias("question"), F.lit("hint").alias("evidence"))
+    wanted = spark.createDataFrame([(k, t, x) for k, own in _QUESTION_SCHEMAS.items() for t, x in own], "kind int, table string, column string")
+    made = schema_ops.structured_questions(c.columns(), c.edges(), asked, labels.join(wanted, "kind").select("question_id", "table", "column"))
+    keys = F.transform(F.coalesce("foreign_keys", F.array()), lambda k: F.concat(k["src_column"], F.lit("="), k["dst_table"], F.lit("."), k["dst_column"]))
+    return made.select("question_id", "question", "evidence", "table", F.array_join("columns", ",").alias("columns"), F.array_join("primary_keys", ",").alias("primary_keys"), F.array_join(keys, ",").alias("foreign_keys"))
+
+
 @query(f"""
 with e as (select user_id as question_id, cast(row_number() over (partition by user_id order by ts, event_id) as integer) as step, event_type || event_id as sql,
     case event_type when 'purchase' then '{results.CORRECT}' when 'view' then '{results.ZERO}' else '{results.EMPTY}' end as status from events where user_id % 3 > 0 or event_type not in ('purchase', 'view')),

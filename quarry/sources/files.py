@@ -153,6 +153,14 @@ def write_schema_links(schemas: DataFrame, path: str) -> None:
     schemas.write.mode("append").json(path)
 
 
+def write_structured_schemas(questions: DataFrame, path: str) -> None:
+    """One JSON object a question: its own columns, and under ``schema`` the tables that ``schema_ops.structured_questions`` gives for it."""
+    fields = ("table", "columns", "primary_keys", "foreign_keys")
+    own = [c for c in questions.columns if c not in fields]
+    listed = F.array_sort(F.collect_list(F.struct(*fields))).alias("schema")  # a question's tables
+    questions.groupBy(*own).agg(listed).write.mode("overwrite").json(path)
+
+
 def write_history(history: DataFrame, path: str) -> None:
     """Tool runs, one folder a database."""
     history.write.mode("append").partitionBy("db_id").json(path)
