@@ -36,8 +36,8 @@ TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 FILE_BYTES = 16_000_000
 #: Texts are encoded so many characters at a time; so many stretches of at most LONGEST characters are remembered.
-BATCH_CHARS = 8_000_000
-REMEMBERED, LONGEST = 400_000, 64
+BATCH_CHARS = 4_000_000
+REMEMBERED, LONGEST = 600_000, 64
 # Fixed values of the format: magic and version; the header's fields (width of an id, partition, file in it, documents, of them with null ids, ids, ids of the partition before it, least doc_id).
 MAGIC = b"QTOK\x01"
 HEADER = struct.Struct("<BIIQQQQq")
