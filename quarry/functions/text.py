@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -206,16 +207,15 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def embed_text(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """A unit vector of hashed character n-grams of the padded lower-case words: the offline embedder."""
-    import xxhash
-
+    """A unit vector of hashed character n-grams of the padded lower-case words: the offline embedder. Hashes are the first sixty bits of MD5, which
+    SQL engines have too."""
     out = np.zeros(dimensions)
     for word in re.findall(r"\w+", (text or "").lower()):
         padded = f"<{word}>"
         for n in (3, 4):
             for i in range(max(1, len(padded) - n + 1)):
-                h = xxhash.xxh64_intdigest(padded[i : i + n], seed=n)
-                out[h % dimensions] += 1.0 if h >> 63 else -1.0
+                h = int(hashlib.md5(f"{n}{padded[i : i + n]}".encode()).hexdigest()[:15], 16)
+                out[h % dimensions] += 1.0 if h >> 59 else -1.0
     norm = np.linalg.norm(out)
     return out / norm if norm else out
 

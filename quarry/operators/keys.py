@@ -12,6 +12,7 @@ binaries are passed over; numbers are compared with numbers and texts with texts
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from quarry.sources.catalog import Catalog, Constraints
 
 #: Relative error of the sketches, and how far below the number of rows a sketch of a unique set may lie.
 ERROR, SLACK = 0.02, 0.1
+#: Tables of up to so many rows are counted exactly at once, all sets of a level in one pass.
+FEW_ROWS = 200_000
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -48,6 +51,10 @@ def unique_sets(frame: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
                 room *= values[c] * (1 + SLACK)
             if room >= n and not any(set(k) <= set(own) for k in found):
                 level.append(own)
+        if level and n <= FEW_ROWS:
+            exact = frame.agg(*[F.count_distinct(F.struct(*map(q, own))) for own in level]).first()
+            found += [own for own, d in zip(level, exact, strict=True) if d == n]
+            continue
         if size == 1:
             level = [own for own in level if values[own[0]] >= near]
         elif level:
@@ -59,9 +66,15 @@ def unique_sets(frame: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
     return found
 
 
+def _all_sets(catalog: Catalog, most: int) -> dict[str, list[tuple[str, ...]]]:
+    """The unique sets of every table, several tables at a time."""
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(catalog.names, pool.map(lambda t: unique_sets(catalog.table(t), most), catalog.names), strict=True))
+
+
 def discovered_keys(catalog: Catalog, most: int = 2) -> DataFrame:
     """table, columns (by commas, in the table's order), size of all minimal unique sets."""
-    rows = [(t, ",".join(own), len(own)) for t in catalog.names for own in unique_sets(catalog.table(t), most)]
+    rows = [(t, ",".join(own), len(own)) for t, sets in _all_sets(catalog, most).items() for own in sets]
     return catalog.spark.createDataFrame(rows, "table string, columns string, size int")
 
 
@@ -107,7 +120,7 @@ def _stem(name: str) -> str:
 def constraints(catalog: Catalog, most: int = 2) -> Constraints:
     """Keys as a database would declare them: of each table the first smallest unique set as primary, the other sets as unique, and as foreign
     keys the references whose columns have the same name, but for prefixes of tables."""
-    sets = {t: unique_sets(catalog.table(t), most) for t in catalog.names}
+    sets = _all_sets(catalog, most)
     rows = [(t, ",".join(k), len(k)) for t, own in sets.items() for k in own]
     keys = catalog.spark.createDataFrame(rows, "table string, columns string, size int")
     primary = {t: own[0] for t, own in sets.items() if own}

@@ -308,13 +308,21 @@ def value_ngrams(spark, sf_dir):
     return own.select("table", "column", F.explode(T.ngrams(F.col("value"))).alias("gram")).groupBy("table", "column", "gram").agg(F.count("*").alias("n_values"))
 
 
-_JACCARD_TOP = f"""
+_KEYWORD_ROWS = f"select * from (values {_keyword_values()})"
+
+
+def _jaccard_top(source: str) -> str:
+    """SQL of the ten values most alike to each keyword of a source."""
+    return f"""
 with v as (select *, {_GRAMS.format('value')} as grams from ({_VALUES})),
-k as (select keyword, {_GRAMS.format('keyword')} as own from (values {_keyword_values()}) t(keyword)),
+k as (select keyword, {_GRAMS.format('keyword')} as own from ({source}) t(keyword)),
 s as (select keyword, "table", "column", value, round(len(list_intersect(grams, own)) / len(list_distinct(list_concat(grams, own))), 6) as jaccard from v, k where len(list_intersect(grams, own)) > 0)
 select * from (select *, cast(row_number() over (partition by keyword order by jaccard desc, "table", "column", value) as integer) as rank from s) where rank <= 10"""
 
 
+_JACCARD_TOP = _jaccard_top(_KEYWORD_ROWS)
+
+
 @query(_JACCARD_TOP)
 def ngram_jaccard_topk(spark, sf_dir):
     return values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark))
@@ -367,7 +375,6 @@ def edit_filter_levenshtein(spark, sf_dir):
 _PREFIX = "len(list_filter(range(1, least(segs[1].ah - i, segs[1].bh - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n)))"
 _BLOCK = f"list_sort(flatten(list_transform(range(segs[1].al, segs[1].ah), lambda i: list_transform(range(segs[1].bl, segs[1].bh), lambda j: {{'k': {_PREFIX}, 'i': -i, 'j': -j}}))), 'DESC')[1]"
 _RATIOS = f"""
-t as ({_JACCARD_TOP}),
 r(a, b, segs, total) as (
   select distinct keyword, value, [{{'al': 0::bigint, 'ah': length(keyword), 'bl': 0::bigint, 'bh': length(value)}}], 0::bigint from t
   union all
@@ -376,7 +383,7 @@ r(a, b, segs, total) as (
   from (select *, {_BLOCK} as x from r where len(segs) > 0))"""
 
 
-@query(f"with recursive {_RATIOS} select keyword as substring, \"table\", \"column\", value, round(2.0::double * total / (length(a) + length(b)), 6) as edit_similarity from t join r on a = keyword and b = value and len(segs) = 0 where 2.0::double * total / (length(a) + length(b)) >= 0.3")
+@query(f"with recursive t as ({_JACCARD_TOP}), {_RATIOS} select keyword as substring, \"table\", \"column\", value, round(2.0::double * total / (length(a) + length(b)), 6) as edit_similarity from t join r on a = keyword and b = value and len(segs) = 0 where 2.0::double * total / (length(a) + length(b)) >= 0.3")
 def edit_filter_ratio(spark, sf_dir):
     found = values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark)).withColumnRenamed("keyword", "substring")
     return retrieval.edit_filter(found).select("substring", "table", "column", "value", F.round("edit_similarity", 6).alias("edit_similarity"))
@@ -412,6 +419,14 @@ def _descriptions(spark: SparkSession) -> DataFrame:
     return raw.withColumn("column_description", files.clean_description(F.col("column_description"))).withColumn("value_description", files.clean_description(F.col("value_description")))
 
 
+def _embedded(source: str) -> str:
+    """SQL of the embeddings of a source's texts (text): text, bucket, x with a length of one."""
+    grams = "select text, n, unnest(list_transform(range(1, greatest(1, length(p) - n + 1) + 1), lambda i: substr(p, i, n))) as gram from (select text, '<' || unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) || '>' as p from (%s)), (values (3), (4)) t(n)" % source
+    hashed = f"select text, cast('0x' || substr(md5(n || gram), 1, 15) as bigint) as h from ({grams})"
+    counted = f"select text, h % {T.DIMENSIONS} as bucket, sum(case when h >= 576460752303423488 then 1.0::double else -1.0 end) as x from ({hashed}) group by all"
+    return f"select text, bucket, x / sqrt(sum(x * x) over (partition by text)) as x from ({counted}) qualify sum(x * x) over (partition by text) > 0"
+
+
 def _profiled_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions as a profile of the text columns gives them."""
     said = profile.text_profile(catalog(spark, sf_dir))
@@ -427,10 +442,21 @@ def catalog_documents(spark, sf_dir):
     return vectors.catalog_documents(_profiled_descriptions(spark, sf_dir)).select("table", "column", "field", "text")
 
 
-@query()
+_CONTEXT = ("Which customers of a region have the highest account balance?", "EUROPE is a region name")
+
+
+@query(f"""
+with p as ({_PROFILE}), n as (select *, case when n_distinct < 20 then 'few values' else '' end as coded, n_distinct || ' values, ' || sum_length || ' characters' as said, replace("column", '_', ' ') as meaning from p),
+d as (select *, 'column_name' as field, meaning as text from n union all select *, 'column_description', said from n union all select *, 'value_description', coded from n where coded <> ''),
+q as (select distinct c || ' ' || k as text from (values ('{_CONTEXT[0]}'), ('{_CONTEXT[1]}')) a(c), (values ('account balance'), ('region name')) b(k)),
+e as ({_embedded("select text from d union select text from q")}),
+dots as (select x.text as q, y.text as d, sum(x.x * y.x) as dot from e x join e y using (bucket) where x.text in (select text from q) and y.text in (select text from d) group by all),
+near as (select q.text as q, d.*, (exists (select 1 from e where e.text = q.text))::int + (exists (select 1 from e where e.text = d.text))::int - 2 * coalesce(dot, 0) as distance from q cross join d left join dots on dots.q = q.text and dots.d = d.text),
+top as (select * from near qualify row_number() over (partition by q order by round(distance, 12), "table", "column", field) <= 5)
+select "table", "column", round(min(distance), 6) as distance, meaning as column_name, said as column_description, coded as value_description from top group by all""")
 def column_context(spark, sf_dir):
     documents = vectors.embedded(vectors.catalog_documents(_profiled_descriptions(spark, sf_dir)))
-    return retrieval.column_context(_keywords(spark, ["account balance", "region name"]), documents, "Which customers of a region have the highest account balance?", "EUROPE is a region name")
+    return retrieval.column_context(_keywords(spark, ["account balance", "region name"]), documents, *_CONTEXT)
 
 
 _PACKET_KEYWORDS = "select p_name as keyword from part where p_name is not null union select 'p_type = ' || p_type from part where p_type is not null union select c_name from customer where c_name is not null"
@@ -447,21 +473,43 @@ def search_packets(spark, sf_dir):
     return retrieval.search_packets(own.where("keyword is not null").distinct())
 
 
+def _column_keywords(c: Catalog) -> DataFrame:
+    """Keywords that name a column beside one of its values."""
+    segments = c.table("customer").select(F.concat(F.lit("c_mktsegment = "), "c_mktsegment").alias("keyword"))
+    states = c.table("orders").select(F.concat(F.lit("MAX(o_orderstatus) = "), "o_orderstatus"))
+    return segments.union(states).where("keyword is not null").distinct()
+
+
 @query("select distinct 'c_mktsegment = ' || c_mktsegment as keyword, 'c_mktsegment' as name, 'customer' as \"table\", 'c_mktsegment' as \"column\", 1.0::double as similarity from customer where c_mktsegment is not null union select distinct 'MAX(o_orderstatus) = ' || o_orderstatus, 'o_orderstatus', 'orders', 'o_orderstatus', 1.0 from orders where o_orderstatus is not null")
 def keyword_column_match(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    segments = c.table("customer").select(F.concat(F.lit("c_mktsegment = "), "c_mktsegment").alias("keyword"))
-    states = c.table("orders").select(F.concat(F.lit("MAX(o_orderstatus) = "), "o_orderstatus"))
-    found = retrieval.keyword_columns(segments.union(states).where("keyword is not null").distinct(), c.columns())
+    found = retrieval.keyword_columns(_column_keywords(c), c.columns())
     return found.withColumn("similarity", F.round("similarity", 2))
 
 
-@query()
+_ABOUT = ("How many customers are in the BUILDING segment?", "c_mktsegment = BUILDING")
+
+
+@query(f"""
+with m as (select distinct 'customer' as "table", 'c_mktsegment' as "column" from customer where c_mktsegment is not null union select distinct 'orders', 'o_orderstatus' from orders where o_orderstatus is not null),
+e as ({_embedded(f"select '`' || \"table\" || '`.`' || \"column\" || '`' as text from m union select '{' '.join(_ABOUT)}'")})
+select "table", "column", round(coalesce(sum(x.x * y.x), 0), 6) as score from m left join e x on x.text = '`' || "table" || '`.`' || "column" || '`' left join e y on y.bucket = x.bucket and y.text = '{' '.join(_ABOUT)}' group by all""")
 def similar_columns(spark, sf_dir):
-    return retrieval.similar_columns(_keywords(spark), catalog(spark, sf_dir).columns(), "How many customers are in the BUILDING segment?", "c_mktsegment = BUILDING")
+    return retrieval.similar_columns(_column_keywords(catalog(spark, sf_dir)), catalog(spark, sf_dir).columns(), *_ABOUT)
+
 
+_PACKETS = """select distinct keyword, substring from (select keyword, unnest(list_concat([trim(keyword), case when contains(keyword, '=') then trim(substr(keyword, strpos(keyword, '=') + 1)) end],
+    flatten(list_transform(list_filter(range(1, length(trim(keyword)) + 1), lambda i: substr(trim(keyword), i, 1) = ' '), lambda i: [trim(substr(trim(keyword), 1, i - 1)), trim(substr(trim(keyword), i + 1))])))) as substring from k) where substring <> ''"""
 
-@query()
+
+@query(f"""
+with recursive k as (select * from ({_KEYWORD_ROWS}) t(keyword)), packets as ({_PACKETS}), t as ({_jaccard_top("select distinct substring from packets")}), {_RATIOS},
+met as (select p.keyword, t.keyword as substring, "table", "column", value, jaccard, 2.0::double * total / (length(a) + length(b)) as edit from t join r on a = t.keyword and b = value and len(segs) = 0 join packets p on p.substring = t.keyword where 2.0::double * total / (length(a) + length(b)) >= 0.3),
+e as ({_embedded("select substring as text from met union select value from met")}),
+dots as (select x.text as s, y.text as v, sum(x.x * y.x) as dot from e x join e y using (bucket) where x.text in (select substring from met) and y.text in (select value from met) group by all),
+close as (select met.*, dot from met join dots on s = substring and v = value where dot >= 0.6), first as (select * from close qualify edit >= 0.9 * max(edit) over (partition by "table", "column")),
+second as (select * from first qualify dot >= 0.9 * max(dot) over (partition by "table", "column"))
+select keyword, substring, "table", "column", value, round(jaccard, 6) as jaccard, round(edit, 6) as edit_similarity, round(dot, 6) as embedding_similarity from second""")
 def entity_funnel(spark, sf_dir):
     return retrieval.similar_entities(_keywords(spark), values.unique_values(catalog(spark, sf_dir)))
 

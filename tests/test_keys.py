@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from quarry.operators import keys
 from quarry.sources.catalog import Catalog, Constraints
 
@@ -17,7 +19,9 @@ def brute_sets(rows, names, most):
     return [tuple(names[i] for i in own) for own in found]
 
 
-def test_unique_sets(spark):
+@pytest.mark.parametrize("few", [keys.FEW_ROWS, 5])
+def test_unique_sets(spark, monkeypatch, few):
+    monkeypatch.setattr(keys, "FEW_ROWS", few)  # counted at once, or sketched first
     r = random.Random(1)
     names = ["a", "b", "c", "d", "e"]
     for n, tops in ((0, (3,) * 5), (1, (3,) * 5), (30, (6, 6, 40, 3, 9)), (200, (20, 20, 20, 400, 2)), (200, (15, 15, 9, 9, 9))):
