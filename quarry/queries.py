@@ -827,6 +827,64 @@ def final_sql_parser(spark, sf_dir):
     return catalog(spark, sf_dir).table("labels").select(F.col("doc_id").alias("id"), final_sql_column(F.when(F.col("quality") == 1, said).otherwise("none")).alias("sql"))
 
 
+_EXECUTED = f"""select user_id as question_id, cast(event_id as integer) as ord, 'SELECT ' || event_type as sql, case event_type when 'purchase' then '{results.CORRECT}' when 'view' then '{results.EMPTY}' else '{results.WRONG}' end as status,
+    case when event_id % 7 = 0 then 'no such column' end as error from events"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate queries with a status and an error, as events give them."""
+    status = F.when(F.col("event_type") == "purchase", results.CORRECT).when(F.col("event_type") == "view", results.EMPTY).otherwise(results.WRONG)
+    failed = F.when(F.col("event_id") % 7 == 0, "no such column")
+    return catalog(spark, sf_dir).table("events").select(F.col("user_id").alias("question_id"), F.col("event_id").cast("int").alias("ord"), F.concat(F.lit("SELECT "), "event_type").alias("sql"), status.alias("status"), failed.alias("error"))
+
+
+@query(f"select question_id, ord, status <> '{results.CORRECT}' or error is not null as need_fixing from ({_EXECUTED})")
+def need_fixing(spark, sf_dir):
+    return results.need_fixing(_judged(spark, sf_dir)).select("question_id", "ord", "need_fixing")
+
+
+@query(f"select question_id, ord, case when ord % 3 = 0 then 'select ' || ord when ord % 3 = 1 then sql else sql end as sql from ({_EXECUTED})")
+def revision_guard(spark, sf_dir):
+    revision = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("select "), F.col("ord").cast("string"))).when(F.col("ord") % 3 == 1, "I cannot say")
+    return results.keep_valid_revisions(_judged(spark, sf_dir).withColumn("revision", revision)).select("question_id", "ord", "sql")
+
+
+@query(f"""
+select question_id, stage, sql, exec_err from (select *, row_number() over (partition by question_id order by failed, stage_ord desc) as n from (
+    select question_id, ord as stage_ord, 'stage ' || ord as stage, sql, coalesce(error, case status when '{results.CORRECT}' then '--' else 'incorrect answer' end) as exec_err, (error is not null)::int as failed from ({_EXECUTED}))) where n = 1""")
+def final_by_stage(spark, sf_dir):
+    said = F.coalesce("error", F.when(F.col("status") == results.CORRECT, "--").otherwise("incorrect answer"))
+    stages = _judged(spark, sf_dir).select("question_id", F.col("ord").alias("stage_ord"), F.concat(F.lit("stage "), F.col("ord").cast("string")).alias("stage"), "sql", said.alias("exec_err"))
+    return results.final_by_stage(stages)
+
+
+@query(f"select keyword, \"table\", \"column\", string_agg(value, '|' order by jaccard desc, value) as \"values\" from ({_JACCARD_TOP}) group by all")
+def values_by_column(spark, sf_dir):
+    found = values.by_column(values.jaccard_top(values.unique_values(catalog(spark, sf_dir)), _keywords(spark)))
+    return found.withColumn("values", F.array_join("values", "|"))
+
+
+@query(f"""
+with v as (select distinct "table", "column", value from ({_pairs(TEXT_COLUMNS)})), firsts as (select "table", "column", list(value order by value)[:3] as c from v group by all having length(min(value)) < 50),
+few as (select "table", "column", list(value order by value)[:5] as b from v group by all having count(*) < 20),
+found as (select "table", "column", list(distinct value order by value) as a from ({_JACCARD_TOP}) group by all)
+select coalesce(firsts."table", few."table", found."table") as "table", coalesce(firsts."column", few."column", found."column") as "column", array_to_string(case when contains(lower(coalesce(firsts."column", few."column", found."column")), 'date') then coalesce(c, a, b) else coalesce(a, b, c) end, '|') as examples
+from firsts full join few on few."table" = firsts."table" and few."column" = firsts."column" full join found on found."table" = coalesce(firsts."table", few."table") and found."column" = coalesce(firsts."column", few."column\")""")
+def example_ladder(spark, sf_dir):
+    c = catalog(spark, sf_dir)
+    found = retrieval.entity_examples(values.jaccard_top(values.unique_values(c), _keywords(spark)))
+    few = profile.text_profile(c).where("n_distinct < 20").select("table", "column")
+    categories = c.long_text().join(F.broadcast(few), ["table", "column"], "left_semi").groupBy("table", "column").agg(F.array_sort(F.collect_set("value")).alias("examples"))
+    return schema_ops.example_ladder(found, categories, profile.examples(c)).withColumn("examples", F.array_join("examples", "|"))
+
+
+@query("select p_partkey, concat_ws(', ', nullif(trim(regexp_replace(p_name, ' {2,}', ' ', 'g')), ''), nullif(trim(p_brand), ''), case when p_size > 25 then 'large' end) as said, md5(p_name || ' ' || p_type) as flat from part")
+def joined_texts(spark, sf_dir):
+    rows = catalog(spark, sf_dir).table("part")
+    said = files.joined_description(F.col("p_name"), F.col("p_brand"), F.when(F.col("p_size") > 25, F.lit(" large ")).otherwise(" "))
+    return rows.select("p_partkey", said.alias("said"), F.md5(T.one_line(F.concat("p_name", F.lit("\r\n "), F.lit("\n"), "p_type"))).alias("flat"))
+
+
 # --- question sets ---------------------------------------------------------------------------------------------------------
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) as n from events) where n = 1")
 def first_occurrence(spark, sf_dir):
