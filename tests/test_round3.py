@@ -30,3 +30,12 @@ def test_packets_move_as_digests(spark, tmp_path):
         own = list(table_functions.search_texts(text))
         want[hashlib.md5(text.encode()).hexdigest()] = (len(own), max(map(len, own)), sum({len(x) for x in own}))
     assert {r["keyword"]: (r["n_packets"], r["longest"], r["lengths"]) for r in frame.collect()} == want
+
+
+def test_bare_columns_of_tied_rows(spark):
+    """All bare columns come from one of the tied rows, the same on every run; nulls are no extremes."""
+    rows = [(1, "b", 2, 5.0), (1, "a", 9, 5.0), (1, "c", 1, 5.0), (1, "0", 0, None), (2, "x", 7, 8.0), (2, "x", 3, 8.0), (2, "y", 4, 7.0)]
+    for order in (rows, rows[::-1]):
+        spark.createDataFrame(order, "k int, name string, n int, x double").coalesce(1).createOrReplaceTempView("tied")
+        assert [tuple(r) for r in sqlrun.frame(spark, "SELECT k, name, n, MIN(x) AS least FROM tied WHERE k = 1 GROUP BY k").collect()] == [(1, "a", 9, 5.0)]
+        assert [tuple(r) for r in sqlrun.frame(spark, "SELECT k, n, MAX(x) AS most FROM tied WHERE k = 2 GROUP BY k").collect()] == [(2, 3, 8.0)]
