@@ -67,7 +67,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     least = max(LEAST_HOT, total // SHARE) if hot_rows is None else hot_rows
     hot = counted.where(F.col("_n") >= least).select(*names)
     cuts = [i / PIECES for i in range(1, PIECES)]
-    edges = both.join(F.broadcast(hot), names).groupBy(*names).agg(F.array_distinct(F.percentile_approx("_x", cuts, 10_000)).alias("_edges"))  # at most SHARE rows
+    edges = both.join(F.broadcast(hot), names).groupBy(*names).agg(F.array_distinct(F.percentile_approx("_x", cuts, 10_000)).alias("_edges"))
+    # At most SHARE rows of PIECES numbers, fixed here: the cuts are estimates, which another evaluation may give otherwise, and all steps must have the same.
+    edges = left.sparkSession.createDataFrame(edges.collect(), edges.schema)
     # Every row of a moment falls into one range, so ties stay together.
     range_of = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("_x"))), F.lit(0)).alias("_range")
     dealt = both.join(F.broadcast(edges), names, "left").select("*", range_of)

@@ -39,3 +39,12 @@ def test_bare_columns_of_tied_rows(spark):
         spark.createDataFrame(order, "k int, name string, n int, x double").coalesce(1).createOrReplaceTempView("tied")
         assert [tuple(r) for r in sqlrun.frame(spark, "SELECT k, name, n, MIN(x) AS least FROM tied WHERE k = 1 GROUP BY k").collect()] == [(1, "a", 9, 5.0)]
         assert [tuple(r) for r in sqlrun.frame(spark, "SELECT k, n, MAX(x) AS most FROM tied WHERE k = 2 GROUP BY k").collect()] == [(2, 3, 8.0)]
+
+
+def test_cuts_of_hot_keys_are_fixed(spark):
+    """The steps of an as-of join share one set of cuts; estimates made twice may differ between executors."""
+    left = spark.range(500).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("at"), F.col("id").alias("left_id"))
+    right = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") - 0.5).alias("seen"), F.col("id").alias("right_id"))
+    joined = time_joins.asof_join(left, right, ["k"], "at", "seen", ["right_id"], hot_rows=10)
+    assert "approx_percentile" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["left_id"] == r["right_id"] for r in joined.collect())
