@@ -120,3 +120,61 @@ def interval_join(intervals: DataFrame, points: DataFrame, on: list[str], start:
     visits = touched.join(hot, where, "left").select(*where, "_x", "_y", "_i", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
     met = visits.join(dealt, [*where, "_part"]).where("_t >= _x and _t < _y")
     return met.select("_i.*", *[F.col(f"_p.`{c}`").alias(c) for c in added])
+
+
+def interval_counts(intervals: DataFrame, points: DataFrame, on: list[str], by: str, start: str, end: str, at: str, ident: str, width: int) -> DataFrame:
+    """What ``interval_join`` grouped by ``by`` counts: by, n_rows, n_distinct (of ``ident``), first_at, last_at of the points in each group's intervals.
+
+    A group of one interval of ``width`` (in the unit of the times, microseconds for timestamps) needs no pairs: the points before its end less those before its
+    start are counted, and likewise distinct ones, less the pairs of following points of one ``ident`` that lie in it (no such pair spans it, where only
+    pairs less than ``width`` apart are counted). So work grows with the rows. Groups of several intervals, or of other widths, are joined and counted.
+    """
+    _refuse_clashes(intervals, points, on)
+    names = [f"_k{i}" for i in range(len(on))]
+    keys = [F.col(c).alias(n) for c, n in zip(on, names, strict=True)]
+    kept = intervals.select(*dict.fromkeys([by, *on, start, end]))
+    kept = kept.withColumn("_wide", _number(kept, end) - _number(kept, start))
+    groups = kept.groupBy(by).agg(F.count("*").alias("_n"), F.first(F.struct(*kept.columns)).alias("_i"))
+    plain = (F.col("_n") == 1) & F.coalesce(F.col("_i._wide") == width, F.lit(False))
+    single, rest = groups.where(plain).select("_i.*"), groups.where(~plain).select(F.col(by).alias("_by"))
+    joined = interval_join(intervals.join(rest, F.col(by).eqNullSafe(F.col("_by")), "left_semi"), points, on, start, end, at)
+    joined = joined.groupBy(by).agg(F.count("*").alias("n_rows"), F.countDistinct(ident).alias("n_distinct"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
+
+    held = single.where(_all(F.col(c).isNotNull() for c in on))
+    probe = lambda column, sign: held.select(*keys, _number(held, column).alias("_x"), F.lit(0).alias("_side"), F.lit(sign).alias("_sign"), F.col(by).alias("_by"))
+    placed = points.where(_all(F.col(c).isNotNull() for c in [*on, at])).select(*keys, _number(points, at).alias("_x"), F.lit(1).alias("_side"), F.col(at).alias("_at"), F.col(ident).alias("_id"))
+    known = placed.where("_id is not null")
+    follow = Window.partitionBy(*names, "_id").orderBy("_x")
+    near = lambda gap: F.coalesce((gap < width).cast("long"), F.lit(0).cast("long"))
+    known = known.withColumn("_ends", near(F.col("_x") - F.lag("_x").over(follow))).withColumn("_begins", near(F.lead("_x").over(follow) - F.col("_x")))
+    placed = known.unionByName(placed.where("_id is null"), allowMissingColumns=True).select(*names, "_x", "_side", "_at", F.col("_id").isNotNull().cast("long").alias("_known"), "_ends", "_begins")
+    both = probe(start, -1).unionByName(probe(end, 1)).unionByName(placed, allowMissingColumns=True)
+    # Hot keys are cut into ranges of time, with the sums of the ranges before and the first point of those after.
+    counted = both.groupBy(*names).agg(F.count("*").alias("_n"))
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    hot = counted.where(F.col("_n") >= max(LEAST_HOT, total // SHARE)).select(*names)
+    cuts = [i / PIECES for i in range(1, PIECES)]
+    edges = both.join(F.broadcast(hot), names).groupBy(*names).agg(F.array_distinct(F.percentile_approx("_x", cuts, 10_000)).alias("_edges"))
+    edges = points.sparkSession.createDataFrame(edges.collect(), edges.schema)  # at most SHARE rows, fixed here as in asof_join
+    range_of = F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("_x"))), F.lit(0)).alias("_range")
+    dealt = both.join(F.broadcast(edges), names, "left").select("*", range_of)
+    sums = lambda: [F.count("_at").alias("_rows"), F.sum("_known").alias("_knowns"), F.sum("_ends").alias("_ended"), F.sum("_begins").alias("_begun"), F.max("_at").alias("_last")]
+    parts = dealt.where("_edges is not null and _at is not null").groupBy(*names, "_range").agg(*sums(), F.min("_at").alias("_first"))
+    every = edges.select(*names, F.explode(F.sequence(F.lit(0), F.size("_edges"))).alias("_range")).join(parts, [*names, "_range"], "left")
+    whole = Window.partitionBy(*names)
+    past, later = (whole.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_range"), F.col("_range").desc()))
+    numbers = ["_rows", "_knowns", "_ended", "_begun"]
+    carried = every.select(*names, "_range", *[F.sum(c).over(past).alias(f"{c}_past") for c in numbers], F.max("_last").over(past).alias("_last_past"), F.min("_first").over(later).alias("_first_later"))
+    own = Window.partitionBy(*names, "_range")
+    upward = own.orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    downward = own.orderBy(F.col("_x").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = dealt.select(*names, "_range", "_sign", "_by", *[F.coalesce(c.over(upward), F.lit(0)).alias(n) for c, n in zip((F.count("_at"), F.sum("_known"), F.sum("_ends"), F.sum("_begins")), numbers, strict=True)], F.max("_at").over(upward).alias("_last"), F.min("_at").over(downward).alias("_first"))
+    seen = seen.where("_sign is not null").join(F.broadcast(carried), [*names, "_range"], "left")
+    upto = lambda c: F.col(c) + F.coalesce(f"{c}_past", F.lit(0))
+    ends = F.col("_sign") == 1
+    found = seen.groupBy(F.col("_by").alias(by)).agg(
+        F.sum(F.col("_sign") * upto("_rows")).alias("n_rows"),
+        F.sum(F.col("_sign") * upto("_knowns") + F.when(ends, -upto("_ended")).otherwise(upto("_begun"))).alias("n_distinct"),
+        F.max(F.when(~ends, F.coalesce("_first", "_first_later"))).alias("first_at"), F.max(F.when(ends, F.coalesce("_last", "_last_past"))).alias("last_at"),
+    )
+    return found.where("n_rows > 0").unionByName(joined)

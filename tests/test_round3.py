@@ -73,3 +73,20 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
         found = vectors.top_by_dot(own, asked, k, within)
         assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
     assert vectors.top_by_dot(own.limit(0), asked).count() == vectors.top_by_dot(own, asked.limit(0)).count() == 0
+
+
+def test_interval_counts_equal_the_join(spark, monkeypatch):
+    """Without pairs of one window's points: repeated ids and times, hot keys, repeated and null groups, other widths."""
+    r = random.Random(11)
+    points = [(r.choice([1, 1, 1, 2, None]), r.choice([None, *range(60)]), r.choice([None, *range(400)])) for _ in range(900)]
+    spans = [(i, r.choice([1, 1, 2, 3, None]), x, x + 20) for i, x in enumerate(r.randrange(-20, 400) for _ in range(300))]
+    spans += [(7, 1, 0, 20), (7, 1, 10, 30), (None, 2, 5, 25), (None, 2, 6, 26), (901, 1, 5, 6), (902, 1, 9, 90), (903, 1, 9, 9), (904, 1, None, 3)]
+    a = spark.createDataFrame(spans, "g int, k int, lo long, hi long")
+    b = spark.createDataFrame(points, "k int, p int, t long")
+    joined = time_joins.interval_join(a, b, ["k"], "lo", "hi", "t")
+    want = joined.groupBy("g").agg(F.count("*").alias("n_rows"), F.countDistinct("p").alias("n_distinct"), F.min("t").alias("first_at"), F.max("t").alias("last_at")).collect()
+    for hot in (10_000, 50):
+        monkeypatch.setattr(time_joins, "LEAST_HOT", hot)
+        got = time_joins.interval_counts(a, b, ["k"], "g", "lo", "hi", "t", "p", 20)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+    assert time_joins.interval_counts(a, b.limit(0), ["k"], "g", "lo", "hi", "t", "p", 20).count() == 0
