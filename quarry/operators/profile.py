@@ -49,25 +49,34 @@ def eligible(catalog: Catalog) -> DataFrame:
     return text_profile(catalog).where(name_allowed(F.col("column"), primary) & size_allowed())
 
 
-def _text(c: str, kind: str) -> Column:
-    return F.to_json(F.struct(c)) if kind.startswith(("array", "map", "struct")) else F.col(c).cast("string")
+def _digest(c: str, kind: str) -> tuple[Column, Column]:
+    """128 bits that tell a column's values apart, the first half null for null: whole numbers as they are, others by two independent hashes."""
+    own = F.col(f"`{c}`")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return own.cast("long"), F.lit(0).cast("long")
+    if kind.startswith(("array", "map", "struct")):
+        own = F.when(own.isNotNull(), F.to_json(F.struct(own)))
+    elif kind == "variant":
+        own = F.to_json(own)
+    return F.when(own.isNotNull(), F.xxhash64(own)), F.when(own.isNotNull(), F.xxhash64(F.lit(1), own))
 
 
 def column_statistics(catalog: Catalog, tables: tuple[str, ...] | None = None) -> DataFrame:
     """table, column, n_rows, n_non_null, n_null, n_distinct and the text form of every column.
 
-    One aggregation per table; distinct values are counted over 128-bit digests of the long form.
+    One aggregation per table; distinct values are counted over 128 bits each, and columns go by number, so little moves.
     """
     out = None
     for t in tables or catalog.names:
         frame = catalog.table(t)
-        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.md5(_text(c, kind)).alias("digest")) for c, kind in frame.dtypes])
-        counted = frame.select(F.explode(pairs).alias("e")).groupBy("e.column", "e.digest").agg(F.count("*").alias("n"))
-        one = counted.groupBy("column").agg(
-            F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("digest").isNotNull(), F.col("n"))), F.lit(0)).alias("n_non_null"),
-            F.coalesce(F.sum(F.when(F.col("digest").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("digest").alias("n_distinct"),
+        pairs = F.array(*[F.struct(F.lit(i).alias("col"), h.alias("h"), g.alias("g")) for i, (h, g) in enumerate(_digest(c, kind) for c, kind in frame.dtypes)])
+        counted = frame.select(F.explode(pairs).alias("e")).groupBy("e.col", "e.h", "e.g").agg(F.count("*").alias("n"))
+        one = counted.groupBy("col").agg(
+            F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("h").isNotNull(), F.col("n"))), F.lit(0)).alias("n_non_null"),
+            F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("h").alias("n_distinct"),
         )
-        one = one.select(F.lit(t).alias("table"), "column", "n_rows", "n_non_null", "n_null", "n_distinct")
+        name = F.element_at(F.array(*map(F.lit, frame.columns)), F.col("col") + 1).alias("column")
+        one = one.select(F.lit(t).alias("table"), name, "n_rows", "n_non_null", "n_null", "n_distinct")
         out = one if out is None else out.unionByName(one)
     return out.withColumn("value_statics", F.format_string("Total count %d - Distinct count %d - Null count %d", "n_non_null", "n_distinct", "n_null"))
 

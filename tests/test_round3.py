@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from quarry import queries
 from quarry.functions import text as T
-from quarry.operators import time_joins, vectors
+from quarry.operators import keys, profile, time_joins, vectors
 from quarry.plans import sqlrun, table_functions
-from quarry.sources.catalog import TABLES
+from quarry.sources.catalog import TABLES, Catalog, Constraints
 
 
 def test_keyword_match_holds_all_kinds_of_keywords(spark, sf_dir):
@@ -90,3 +90,12 @@ def test_interval_counts_equal_the_join(spark, monkeypatch):
         got = time_joins.interval_counts(a, b, ["k"], "g", "lo", "hi", "t", "p", 20)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
     assert time_joins.interval_counts(a, b.limit(0), ["k"], "g", "lo", "hi", "t", "p", 20).count() == 0
+
+
+def test_statistics_move_numbers(spark, tmp_path):
+    """Both zeros are one value, as in SQL; columns go by number, values by 128 bits at most; nested and empty columns count too."""
+    rows = [(0.0, 1, "a", [1], None), (-0.0, 2, "b", [1], None), (None, 2, "", None, None)]
+    spark.createDataFrame(rows, "x double, n int, s string, l array<int>, z string").write.parquet(f"{tmp_path}/t.parquet")
+    found = profile.column_statistics(Catalog(spark, str(tmp_path), ("t",), Constraints()))
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r)[1:6] for r in found.collect()} == {("x", 3, 2, 1, 1), ("n", 3, 3, 0, 2), ("s", 3, 3, 0, 3), ("l", 3, 2, 1, 1), ("z", 3, 0, 3, 0)}
