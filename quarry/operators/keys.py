@@ -1,7 +1,7 @@
 """Keys and references read from the data, for databases that declare none.
 
 Unique column sets are searched level by level: a set with a unique subset is not minimal, one whose columns have too few values together
-cannot be unique, and sketches of the rest, all of a level in one pass, leave few to be counted exactly. Inclusions of columns come from
+cannot be unique; of the rest a slice of the values, all sets of a level in one pass, refutes most, and the others are counted exactly. Inclusions of columns come from
 one aggregation: the distinct values of all columns meet by digest, equal sets of columns are counted, and a column lies in another if as
 many of its values are seen with the other as it has. Only digests move.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 import itertools
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.sources.catalog import Catalog, Constraints
@@ -23,6 +23,10 @@ from quarry.sources.catalog import Catalog, Constraints
 ERROR, SLACK = 0.02, 0.1
 #: Tables of up to so many rows are counted exactly at once, all sets of a level in one pass.
 FEW_ROWS = 200_000
+#: Of so many slices of the values one is looked at first.
+SLICES = 64
+#: Columns that one number holds as bits.
+MASK = 62
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -30,6 +34,26 @@ def _atomic(frame: DataFrame) -> list[str]:
     return [c for c, kind in frame.dtypes if not kind.startswith(("array", "map", "struct", "binary", "variant"))]
 
 
+def _halves(columns: list[Column], kinds: list[str]) -> tuple[Column, Column]:
+    """128 bits that tell the values of non-null columns apart: one or two whole numbers as they are, else two independent hashes."""
+    if len(columns) < 3 and all(k in _WHOLE for k in kinds):
+        return columns[0].cast("long"), (columns[1] if len(columns) == 2 else F.lit(0)).cast("long")
+    return F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns)
+
+
+def _repeated(frame: DataFrame, sets: list[tuple[str, ...]], slices: int) -> set[int]:
+    """The places of the sets of full columns that repeat a value, of those values that fall into the first of so many slices by hash. One pass."""
+    kinds = dict(frame.dtypes)
+    made = []
+    for i, own in enumerate(sets):
+        h, g = _halves([F.col(f"`{c}`") for c in own], [kinds[c] for c in own])
+        made.append(F.struct(F.lit(i).alias("i"), h.alias("h"), g.alias("g")))
+    dealt = frame.select(F.explode(F.array(*made)).alias("v")).select("v.i", "v.h", "v.g")
+    if slices > 1:
+        dealt = dealt.where(F.pmod(F.xxhash64("h", "g"), F.lit(slices)) == 0)
+    return {r["i"] for r in dealt.groupBy("i", "h", "g").count().where("count > 1").select("i").distinct().collect()}  # bounded by the schema
+
+
 def unique_sets(frame: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
     """The minimal sets of at most ``most`` columns whose values no two rows share, in the order of size and columns."""
     names = _atomic(frame)
@@ -57,12 +81,12 @@ def unique_sets(frame: DataFrame, most: int = 2) -> list[tuple[str, ...]]:
             continue
         if size == 1:
             level = [own for own in level if values[own[0]] >= near]
-        elif level:
-            sketched = frame.agg(*[F.approx_count_distinct(F.struct(*map(q, own)), ERROR) for own in level]).first()
-            level = [own for own, d in zip(level, sketched, strict=True) if d >= near]
-        for own in level:  # few: what is left is unique or nearly so
-            if frame.groupBy(*map(q, own)).count().where("count > 1").limit(1).isEmpty():
-                found.append(own)
+        # A slice of the hashed values, every row of which is in it, refutes most sets; what is left is counted in whole.
+        for slices in (SLICES, 1):
+            if level:
+                repeated = _repeated(frame, level, slices)
+                level = [own for i, own in enumerate(level) if i not in repeated]
+        found += level
     return found
 
 
@@ -82,21 +106,27 @@ def inclusions(catalog: Catalog) -> DataFrame:
     """src_table, src_column, dst_table, dst_column, n_values of all pairs of columns where each value of the first (n_values of them, one at
     least) is one of the second."""
     columns, seen = [], None
+    chosen = [(t, c, kind) for t in catalog.names for c, kind in catalog.table(t).dtypes if kind in _WHOLE or kind == "string"]
+    if not chosen:
+        return catalog.spark.createDataFrame([], "src_table string, src_column string, dst_table string, dst_column string, n_values long")
+    masks = -(-len(chosen) // MASK)
     for t in catalog.names:
-        frame, own = catalog.table(t), []
-        for c, kind in frame.dtypes:
-            if kind in _WHOLE or kind == "string":
-                said = F.col(f"`{c}`").cast("string")
-                own.append(F.struct(F.lit(len(columns)).alias("col"), F.lit(kind == "string").alias("text"), F.xxhash64(said).alias("h"), F.xxhash64(said, F.lit(1)).alias("g"), said.isNotNull().alias("set")))
-                columns.append((len(columns), t, c))
+        own = []
+        for c, kind in [(c, kind) for s, c, kind in chosen if s == t]:
+            h, g = _halves([F.col(f"`{c}`")], [kind])
+            place = len(columns)
+            bits = [F.lit(1 << place % MASK if place // MASK == m else 0).cast("long").alias(f"m{m}") for m in range(masks)]
+            own.append(F.struct(F.lit(kind == "string").alias("text"), F.when(F.col(f"`{c}`").isNotNull(), h).alias("h"), g.alias("g"), *bits))
+            columns.append((place, t, c))
         if own:
-            one = frame.select(F.explode(F.array(*own)).alias("v")).where("v.set").select("v.col", "v.text", "v.h", "v.g").distinct()
+            one = catalog.table(t).select(F.explode(F.array(*own)).alias("v")).select("v.*").where("h is not null")
             seen = one if seen is None else seen.unionByName(one)
     names = catalog.spark.createDataFrame(columns, "col int, `table` string, `column` string")
-    if seen is None:
-        return catalog.spark.createDataFrame([], "src_table string, src_column string, dst_table string, dst_column string, n_values long")
-    together = seen.groupBy("text", "h", "g").agg(F.sort_array(F.collect_list("col")).alias("cols"))  # a column comes once a value
-    counted = together.groupBy("cols").agg(F.count("*").alias("n"))  # values in the same columns, counted together
+    # The columns of a value are bits, so that values repeated in a column are merged before they move, and move once.
+    together = seen.groupBy("text", "h", "g").agg(*[F.bit_or(f"m{m}").alias(f"m{m}") for m in range(masks)])
+    counted = together.groupBy(*[f"m{m}" for m in range(masks)]).agg(F.count("*").alias("n"))  # values in the same columns, counted together
+    held = [F.when(F.getbit(F.col(f"m{i // MASK}"), F.lit(i % MASK)) == 1, F.lit(i)) for i in range(len(columns))]
+    counted = counted.select("n", F.array_compact(F.array(*held)).alias("cols"))
     pairs = counted.select("n", F.col("cols"), F.explode("cols").alias("src")).select("n", "src", F.explode("cols").alias("dst")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     whole = pairs.where("src = dst").select(F.col("src").alias("_src"), F.col("n").alias("n_values"))
     kept = pairs.where("src <> dst").join(whole, F.col("src") == F.col("_src")).where("n = n_values")
