@@ -1,7 +1,8 @@
-"""Near copies by the similarity of their shingles: links from ``SIMILARITY`` on, candidates by MinHash bands, each link checked exactly.
+"""Near copies by the similarity of their shingles: links from ``SIMILARITY`` on, candidates by SimHash and by MinHash bands, each link checked exactly.
 
-A text is the set of its five-word shingles (as 64-bit hashes); texts with equal sets are merged first. Texts that agree in a
-whole band of MinHash slots are candidates: a pair of Jaccard similarity 0.8 meets in one of the bands with probability 0.9994,
+A text is the set of its five-word shingles (as 64-bit hashes); texts with equal sets are merged first. The SimHash of each set goes
+through the Gray index of ``simhash``: sets within its distance are candidates. It reaches few pairs of similarity 0.8 to 0.9, so
+texts that agree in a whole band of MinHash slots are candidates too: a pair of Jaccard similarity 0.8 meets in one of the bands with probability 0.9994,
 one of 0.85 with 0.999997. Every link is the exact similarity of two whole sets, and sets of sizes too unlike to reach it are not
 compared. In a star round each text is compared with one text of each of its buckets, and linked texts count as one from then on.
 Buckets that still hold several groups are searched in whole by one task each, which has the sets of its members and gives out no
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import simhash
 from quarry.llm.common import discard, free_name, lookup, map_batches, materialize, release, utf8
 from quarry.llm.components import components
 from quarry.llm.sketch import mixed
@@ -64,6 +66,11 @@ def buckets(own: np.ndarray) -> np.ndarray:
     return mixed((least.reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=np.uint64) + _BAND).view(np.int64)
 
 
+def sketched(own: np.ndarray) -> int:
+    """The SimHash of a set of shingles: a bit is 1 if set in over half of their hashes."""
+    return int(np.packbits(np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1).sum(0) * 2 > max(1, len(own))).view(np.int64)[0]) if len(own) else 0
+
+
 def _node(own: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64)))
 
@@ -83,10 +90,23 @@ def _prints(documents: DataFrame) -> DataFrame:
 
     def compute(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in utf8(batch.column(2))]
-        columns = [batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "size", "buckets"])
-
-    return map_batches(_marked(documents), compute, "doc_id long, mark long, node long, size long, buckets array<long>")
+        columns = [batch.column(0), batch.column(1), pa.array([_node(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64())), pa.array([sketched(s) for s in sets], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "node", "size", "buckets", "fp"])
+
+    return map_batches(_marked(documents), compute, "doc_id long, mark long, node long, size long, buckets array<long>, fp long")
+
+
+def _by_fingerprint(distinct: DataFrame, least: float) -> DataFrame:
+    """Candidates a, b by SimHash, from the Gray index of ``simhash``: texts of one fingerprint with the smallest of them, and that one with the
+    smallest of the fingerprint that links lead to."""
+    prints = materialize(distinct.where("size > 0").groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.min_by("size", "node").alias("first_size")), "fingerprints")
+    near = components(simhash.links(prints.select("fp")))
+    heads = prints.select(F.col("fp").alias("root"), F.col("first").alias("root_first"), F.col("first_size").alias("root_size"))
+    led = prints.join(near.withColumnRenamed("node", "fp"), "fp").where("root != fp").join(heads, "root").where(_alike("first_size", "root_size", least))
+    same = lookup(distinct.where("size > 0").select("node", "size", "fp"), prints, "fp", F.col("node"), "n").where(F.col("node") != F.col("first")).where(_alike("size", "first_size", least))
+    out = materialize(led.select(F.col("first").alias("a"), F.col("root_first").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("first").alias("b"))), "gray")
+    discard(prints)
+    return out
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -184,19 +204,21 @@ def _search(least: float):
 
 def groups(documents: DataFrame, prints: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """node, root of the nodes that have a link: root is the smallest node that links reach."""
-    distinct = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    distinct = prints.groupBy("node").agg(F.first("size").alias("size"), F.first("buckets").alias("buckets"), F.first("fp").alias("fp"))
+    gray = _by_fingerprint(distinct, least)
     dealt = materialize(distinct.select("node", "size", F.explode("buckets").alias("bucket")), "dealt")
     # plain numbers, so that no row of the aggregate holds more than it must; a node is a hash itself
     shared = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.min_by("size", "node").alias("first_size")).where("n > 1"), "shared")
     met = materialize(lookup(dealt, shared, "bucket", F.col("node"), "n").where("first is not null"), "met")
     discard(dealt, shared)
-    nodes = materialize(met.select("node").distinct(), "nodes")
+    ends = gray.select(F.col("a").alias("node")).unionByName(gray.select(F.col("b").alias("node")))
+    nodes = materialize(met.select("node").unionByName(ends).distinct(), "nodes")
     sets = materialize(_sets(documents, nodes), "sets")
-    pairs = materialize(met.where((F.col("node") != F.col("first")) & _alike("size", "first_size", least)).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    pairs = materialize(met.where((F.col("node") != F.col("first")) & _alike("size", "first_size", least)).select(F.col("node").alias("a"), F.col("first").alias("b")).unionByName(gray).distinct(), "pairs")
     links = _linked(pairs, sets, least)
     found = components(links)
     label = materialize(nodes.join(found.withColumnRenamed("root", "_root"), "node", "left").select("node", F.coalesce("_root", "node").alias("root")), "label")
-    discard(pairs, links, found, nodes)
+    discard(gray, pairs, links, found, nodes)
     rooted = met.select("bucket", "node", "size").join(label, "node")
     parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     chunks = F.ceil(F.greatest(F.col("n") / BUCKET_LIMIT, F.col("words") / SET_LIMIT)).cast("int").alias("chunks")

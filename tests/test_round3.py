@@ -7,8 +7,10 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry import queries
 from quarry.functions import text as T
+from quarry.llm import near_copies
 from quarry.operators import keys, profile, time_joins, vectors
 from quarry.plans import sqlrun, table_functions
 from quarry.sources.catalog import TABLES, Catalog, Constraints
@@ -122,3 +124,13 @@ def test_inclusions_move_values_once(spark, tmp_path):
     found = keys.inclusions(Catalog(spark, str(tmp_path), ("a", "b"), Constraints()))
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {("a", "n", "b", "m", 2), ("a", "s", "b", "t", 2)}
+
+
+def test_near_copies_come_from_the_gray_index(spark, monkeypatch):
+    """Without any MinHash bucket the pipeline's stage still finds what lies within the distance of fingerprints, checked exactly."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base[:399], "other"]), " ".join(base[::-1]), " ".join(base).upper()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").coalesce(1)
+    own = near_copies._prints(docs).withColumn("buckets", F.expr("cast(array() as array<long>)"))
+    monkeypatch.setattr(near_copies, "_prints", lambda documents: own)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [0, 2]
