@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.results import canonical, result_digest
@@ -20,6 +20,8 @@ PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1000003, 998244353, 1010101039, 479001599)
 LANES = len(PRIMES)
 FOLDED = "part long, n long, " + ", ".join(f"h{i} long, p{i} long" for i in range(LANES))
+#: Rows that a LIMIT may keep for each task to hold the first so many in memory; for more, all rows are sorted by ranges.
+MOST_FIRST = 50_000
 
 
 def is_ordered(result: DataFrame) -> bool:
@@ -30,6 +32,25 @@ def is_ordered(result: DataFrame) -> bool:
     return plan.nodeName() == "Sort" and bool(getattr(plan, "global")())
 
 
+def _is_short(result: DataFrame) -> bool:
+    """Whether the query itself says that its result has few rows."""
+    most = result._jdf.queryExecution().optimizedPlan().maxRows()
+    return most.isDefined() and most.get() <= MOST_FIRST
+
+
+def _hashes(rows: DataFrame) -> list[Column]:
+    """A hash a lane of canonical rows. Each value follows a mark of its kind, so that nulls, numbers and texts stay apart and in their places;
+    numbers, texts and dates are hashed as they are, other kinds as JSON."""
+    said = []
+    for name, kind in rows.dtypes:
+        c = F.col(name)
+        mark = F.when(c.isNull(), 0).otherwise(1 if kind == "double" else 2)
+        if kind == "double":
+            mark = F.when((c == 0) & c.cast("string").startswith("-"), 3).otherwise(mark)  # -0.0, which the hash takes for 0.0
+        said += [mark, c if kind in ("double", "string") else c.cast("string") if kind == "date" else F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))]
+    return [F.xxhash64(F.lit(i), *said).alias(f"l{i}") for i in range(LANES)]
+
+
 def _powers(n: int, lane: int) -> np.ndarray:
     """Powers of a lane's base from 0 on, by doubling."""
     out = np.ones(1, np.uint64)
@@ -65,8 +86,8 @@ def sequence_digest(result: DataFrame) -> DataFrame:
     """One row: digest, n_rows, n_columns, of the rows in the order of the result, which should be that of ``is_ordered``. Rows that a query's
     keys leave tied come in the engine's order."""
     rows = canonical(result)
-    said = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}) if rows.columns else F.lit("")
-    hashed = rows.select(*[F.xxhash64(said, F.lit(i)).alias(f"l{i}") for i in range(LANES)])
+    # Spark moves hashes below a LIMIT, where they part it from its sort, and then sorts all rows; a column that depends on the task stays above.
+    hashed = rows.select(*_hashes(rows), *([F.spark_partition_id().alias("task")] if _is_short(result) else []))
     folded = hashed.mapInArrow(_fold, FOLDED)
     parts = folded.agg(F.sort_array(F.collect_list(F.struct("part", *[c.split()[0] for c in FOLDED.split(", ")[1:]]))).alias("parts"))  # one a range
     lane = lambda i: F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (acc * x[f"p{i}"] + x[f"h{i}"]) % F.lit(PRIMES[i]).cast("long"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark import InheritableThread
+from pyspark import InheritableThread, inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ def frame(spark: SparkSession, sql: str, sqlite: bool = True) -> DataFrame:
     return spark.sql(bridge_typed(sql, known_columns(spark) if '"' in sql else None, analyzes))
 
 
-def with_timeout(spark: SparkSession, work, timeout: float) -> Any:
-    """Runs work() in a thread with a job tag of its own; its jobs are cancelled when time is up."""
+def with_timeout(spark: SparkSession, work, timeout: float | None) -> Any:
+    """Runs work() in a thread with a job tag of its own; its jobs are cancelled when time is up, which None never is."""
     tag, out = f"quarry-{uuid.uuid4().hex}", {}
 
     def run() -> None:
@@ -139,9 +140,9 @@ def execution_status(spark: SparkSession, sql: str, timeout: float = 60, strict:
     return R.status(len(some), len(result.columns), some[0] if some else None, is_count, all_null, strict)
 
 
-def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], timeout: float = 60, known: dict[str, tuple] | None = None, ordered: bool = False) -> DataFrame:
+def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], timeout: float | None = 60, known: dict[str, tuple] | None = None, ordered: bool = False, threads: int = 1) -> DataFrame:
     """question_id, ord, sql, digest, n_rows, status, error of candidate queries: (question_id, ord, sql). ``ordered``: results count as sequences
-    where their query says an order and as multisets elsewhere, not as sets.
+    where their query says an order and as multisets elsewhere, not as sets. ``threads`` texts run at a time, each under the limit of its own.
 
     ``known`` keeps outcomes by the query's text, so that a text runs once however many candidates and stages have it; what ran
     out of time is not kept.
@@ -158,13 +159,20 @@ def execute_all(spark: SparkSession, candidates: list[tuple[int, int, str]], tim
         except Exception as e:  # noqa: BLE001
             return None, None, R.WRONG, (str(e) or type(e).__name__).splitlines()[0][:500]
 
-    rows, late = [], {}
-    for question_id, ord_, sql in candidates:  # one Spark job a text: the queries are few, their results stay distributed
-        got = known.get(sql) or late.get(sql)
-        if got is None:
-            got = outcome(sql)
-            (late if (got[3] or "").startswith("no result after") else known)[sql] = got
-        rows.append((question_id, ord_, sql, *got))
+    def once(sql: str) -> tuple:
+        got = known.get(sql) or outcome(sql)
+        if not (got[3] or "").startswith("no result after"):
+            known[sql] = got
+        return got
+
+    texts = list(dict.fromkeys(sql for _, _, sql in candidates))  # one Spark job a text: the queries are few, their results stay distributed
+    if threads > 1 and len(texts) > 1:
+        with ThreadPoolExecutor(min(threads, len(texts))) as pool:
+            runs = [pool.submit(inheritable_thread_target(spark)(once), sql) for sql in texts]
+        got = {sql: run.result() for sql, run in zip(texts, runs, strict=True)}
+    else:
+        got = {sql: once(sql) for sql in texts}
+    rows = [(question_id, ord_, sql, *got[sql]) for question_id, ord_, sql in candidates]
     return spark.createDataFrame(rows, "question_id long, ord int, sql string, digest string, n_rows long, status string, error string")
 
 
