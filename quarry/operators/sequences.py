@@ -19,6 +19,7 @@ from quarry.operators.results import canonical, result_digest
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1000003, 998244353, 1010101039, 479001599)
 LANES = len(PRIMES)
+HASHES = 2  # of a row, each for as many lanes: columns cost more on their way to Python than folding does
 FOLDED = "part long, n long, " + ", ".join(f"h{i} long, p{i} long" for i in range(LANES))
 #: Rows that a LIMIT may keep for each task to hold the first so many in memory; for more, all rows are sorted by ranges.
 MOST_FIRST = 50_000
@@ -38,17 +39,17 @@ def _is_short(result: DataFrame) -> bool:
     return most.isDefined() and most.get() <= MOST_FIRST
 
 
-def _hashes(rows: DataFrame) -> list[Column]:
-    """A hash a lane of canonical rows. Each value follows a mark of its kind, so that nulls, numbers and texts stay apart and in their places;
-    numbers, texts and dates are hashed as they are, other kinds as JSON."""
+def _hashes(rows: DataFrame, whole: set[str]) -> list[Column]:
+    """Hashes of canonical rows, of which the columns ``whole`` were no fractions. Each value follows a mark of its kind, so that nulls, numbers and
+    texts stay apart and in their places; numbers, texts and dates are hashed as they are, other kinds as JSON."""
     said = []
     for name, kind in rows.dtypes:
         c = F.col(name)
         mark = F.when(c.isNull(), 0).otherwise(1 if kind == "double" else 2)
-        if kind == "double":
-            mark = F.when((c == 0) & c.cast("string").startswith("-"), 3).otherwise(mark)  # -0.0, which the hash takes for 0.0
+        if kind == "double" and name not in whole:
+            mark = F.when((c == 0) & (F.pow(c, F.lit(-1.0)) < 0), 3).otherwise(mark)  # -0.0, which the hash takes for 0.0
         said += [mark, c if kind in ("double", "string") else c.cast("string") if kind == "date" else F.when(c.isNotNull(), F.to_json(F.struct(c), {"ignoreNullFields": "false"}))]
-    return [F.xxhash64(F.lit(i), *said).alias(f"l{i}") for i in range(LANES)]
+    return [F.xxhash64(F.lit(i), *said).alias(f"l{i}") for i in range(HASHES)]
 
 
 def _powers(n: int, lane: int) -> np.ndarray:
@@ -61,8 +62,8 @@ def _powers(n: int, lane: int) -> np.ndarray:
     return out[:n]
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of a partition's rows in their order: its number, count, and each lane's polynomial and power."""
+def _fold(batches: Iterator[pa.RecordBatch], hashes: int = LANES) -> Iterator[pa.RecordBatch]:
+    """One row of a partition's rows in their order: its number, count, and each lane's polynomial and power. The lanes share the columns of hashes."""
     n, state, powers = 0, [(0, 1)] * LANES, [np.zeros(0, np.uint64)] * LANES
     for batch in batches:
         m = batch.num_rows
@@ -72,7 +73,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(powers[lane]) < m + 1:
                 powers[lane] = _powers(m + 1, lane)
             prime, (value, power) = PRIMES[lane], state[lane]
-            own = batch.column(lane).to_numpy().view(np.uint64) % np.uint64(prime)
+            own = batch.column(lane * hashes // LANES).to_numpy().view(np.uint64) % np.uint64(prime)
             part = int((own * powers[lane][m - 1 :: -1][:m] % np.uint64(prime)).sum()) % prime
             step = int(powers[lane][m])
             state[lane] = ((value * step + part) % prime, power * step % prime)
@@ -87,8 +88,9 @@ def sequence_digest(result: DataFrame) -> DataFrame:
     keys leave tied come in the engine's order."""
     rows = canonical(result)
     # Spark moves hashes below a LIMIT, where they part it from its sort, and then sorts all rows; a column that depends on the task stays above.
-    hashed = rows.select(*_hashes(rows), *([F.spark_partition_id().alias("task")] if _is_short(result) else []))
-    folded = hashed.mapInArrow(_fold, FOLDED)
+    whole = {c for c, (_, kind) in zip(rows.columns, result.dtypes, strict=True) if kind not in ("float", "double")}
+    hashed = rows.select(*_hashes(rows, whole), *([F.spark_partition_id().alias("task")] if _is_short(result) else []))
+    folded = hashed.mapInArrow(lambda batches: _fold(batches, HASHES), FOLDED)
     parts = folded.agg(F.sort_array(F.collect_list(F.struct("part", *[c.split()[0] for c in FOLDED.split(", ")[1:]]))).alias("parts"))  # one a range
     lane = lambda i: F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: (acc * x[f"p{i}"] + x[f"h{i}"]) % F.lit(PRIMES[i]).cast("long"))
     n_rows = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
