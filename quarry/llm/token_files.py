@@ -18,25 +18,25 @@ from __future__ import annotations
 import hashlib
 import itertools
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import delete_path, fresh_path, materialize, release
-from quarry.llm.words import blocks, cut, independent, last_bytes, lines, token_bytes, unknown
+from quarry.llm.words import Cuts, independent, token_bytes
 
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 FILE_BYTES = 16_000_000
-#: Texts are encoded so many characters at a time; so many stretches of at most LONGEST characters are remembered.
-BATCH_CHARS = 4_000_000
+#: Texts are encoded so many bytes at a time, new stretches in texts of so many; so many stretches of at most LONGEST bytes are remembered.
+BATCH_BYTES, BLOCK_BYTES = 4_000_000, 20_000
 REMEMBERED, LONGEST = 600_000, 64
 # Fixed values of the format: magic and version; the header's fields (width of an id, partition, file in it, documents, of them with null ids, ids, ids of the partition before it, least doc_id).
 MAGIC = b"QTOK\x01"
@@ -135,77 +135,101 @@ class TokenFile:
         return self.ids[first:last]
 
 
-# A word and the marks after it are pre-tokens of their own; letters beyond Latin ones are left to the library's tables.
-_MARKED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([.,;:!?()|-]+)")
-
-
 class Encoder:
-    """Texts to the bytes of their ids with the tokenizers library. Ids of stretches are remembered: once there are REMEMBERED of them they
-    become the old ones, of which those that come again stay."""
+    """Texts to the bytes of their ids with the tokenizers library. A batch is cut into stretches by its bytes, of which each distinct one is looked
+    up once; ids of stretches are remembered, up to REMEMBERED of them: then the half that was seen last stays."""
 
     def __init__(self, config: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_str(config), np.dtype(f"<u{width}")
-        self.cuts = independent(config)
+        self.cuts = Cuts(config) if independent(config) else None
         self.sizes = np.array([len(b) for b in token_bytes(self.tokenizer.get_vocab(with_added_tokens=True))]) if self.cuts else None
-        self.line_end = self.whole("\n")
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = self.ids = pa.array([], pa.large_binary())
+        self.seen, self.batch = np.zeros(0, np.int64), 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def together(self, parts: list[str], between: str) -> Iterator[bytes]:
-        """The ids of stretches, each with a space or a line end before it, many in one text."""
-        for block in blocks(parts):
-            raw = self.whole(between + between.join(block))
-            ends, last = np.cumsum(self.sizes[np.frombuffer(raw, self.kind)]), last_bytes(block)
-            at = np.searchsorted(ends, last)
-            if ends[-1] != last[-1] or (ends[at] != last).any():
+    def together(self, parts: pa.Array) -> pa.Array:
+        """The ids of stretches that each begin with a space or a line end between other characters, many in one text."""
+        data, offsets = _buffers(parts)
+        places = np.searchsorted(offsets, np.arange(0, len(data) + BLOCK_BYTES, BLOCK_BYTES))  # each block begins with a stretch
+        runs, ends, n = [], [np.zeros(1, np.int64)], 0
+        for start, end in itertools.pairwise(np.unique(np.minimum(places, len(parts))).tolist()):
+            text = data[offsets[start] : offsets[end]].tobytes().decode()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            after, last = np.cumsum(self.sizes[ids]), offsets[start + 1 : end + 1] - offsets[start]
+            at = np.searchsorted(after, last)
+            if after[-1] != last[-1] or (after[at] != last).any():
                 raise ValueError("stretches are not independent under this tokenizer")
-            at = ((at + 1) * self.kind.itemsize).tolist()
-            yield from (raw[start:end] for start, end in zip([0, *at], at, strict=False))
-
-    def learn(self, parts: set[str]) -> None:
-        """Makes all stretches known: those with a line end as their first character, and those after a space."""
-        known, old = self.known, self.old
-        known.update({p: old[p] for p in parts if p in old})
-        new = parts.difference(known)
-        heads = [p[1:] for p in new if p[0] == "\n"]
-        plain = [h for h in heads if h and h == h.strip() and "\u180e" not in h]
-        known.update(zip(["\n" + h for h in plain], self.together(plain, "\n"), strict=True))
-        known.update(("\n" + h, self.line_end + (self.whole(h) if h else b"")) for h in set(heads).difference(plain))
-        marked = {p: m for p in new if p[0] != "\n" and (m := _MARKED.fullmatch(p))}
-        words = list({p for p in new if p[0] != "\n" and p not in marked} | {m[1] for m in marked.values() if m[1] not in known})
-        known.update(zip(words, self.together(words, " "), strict=True))
-        marks = {x: self.whole(x) for x in {m[2] for m in marked.values()}}
-        known.update((p, known[m[1]] + marks[m[2]]) for p, m in marked.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+            ends.append(n + at + 1)
+            runs.append(ids)
+            n += len(ids)
+        return _binary(np.concatenate([np.zeros(0, self.kind), *runs]).view(np.uint8), np.concatenate(ends) * self.kind.itemsize)
+
+    def learn(self, parts: pa.Array) -> np.ndarray:
+        """Makes distinct stretches known that were not; where they stand among the known ones."""
+        data, offsets = _buffers(parts)
+        lead = data[offsets[:-1]]
+        plain = np.flatnonzero((lead == 0x20) | (lead == 0x0A))
+        data, offsets = _buffers(parts.take(pa.array(plain)))
+        begins = np.zeros(len(data) + 3, bool)  # all in one text between others: both ends of a stretch must be cuts there
+        begins[self.cuts.starts(np.concatenate([[0x78], data, [0x20, 0x78]]).astype(np.uint8), np.array([0, len(data) + 3]))] = True
+        plain = plain[begins[offsets[:-1] + 1] & begins[offsets[1:] + 1]]
+        rest = np.delete(np.arange(len(parts)), plain)
+        alone = [self.whole(p.decode()) for p in parts.take(pa.array(rest)).to_pylist()]
+        order, n = np.concatenate([plain, rest]), len(self.known)
+        self.known = pa.concat_arrays([self.known, parts.take(pa.array(order))])
+        self.ids = pa.concat_arrays([self.ids, self.together(parts.take(pa.array(plain))), pa.array(alone, pa.large_binary())])
+        self.seen = np.append(self.seen, np.zeros(len(parts), np.int64))
+        at = np.empty(len(parts), np.int64)
+        at[order] = np.arange(n, n + len(parts))
+        return at
+
+    def places(self, parts: pa.Array) -> np.ndarray:
+        """Where distinct stretches stand among the known ones, of which all are then."""
+        at = pc.index_in(parts, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = self.learn(parts.take(pa.array(new)))
+        self.seen[at] = self.batch
+        return at
+
+    def forget(self) -> None:
+        """Long stretches go, and of too many those that were not seen for longest."""
+        kept = pc.binary_length(self.known).to_numpy() <= LONGEST
+        if kept.sum() > REMEMBERED:
+            kept[np.argsort(self.seen, kind="stable")[: len(kept) - REMEMBERED // 2]] = False
+        if not kept.all():
+            self.known, self.ids, self.seen = self.known.filter(pa.array(kept)), self.ids.filter(pa.array(kept)), self.seen[kept]
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         if not self.cuts:
-            return [self.whole(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        flat, ends = [], []
-        for text in texts:
-            for line in lines(text):
-                at = len(flat)
-                flat += cut(line)
-                flat[at] = "\n" + flat[at]  # the first line's is taken off again
-            ends.append(len(flat))
-        found = list(map(self.known.get, flat))
-        if missing := [k for k, ids in enumerate(found) if ids is None]:
-            new = {flat[k] for k in missing}
-            self.learn(new)
-            for k in missing:
-                found[k] = self.known[flat[k]]
-            for part in new:
-                if len(part) > LONGEST:
-                    del self.known[part]
-        before = len(self.line_end)
-        return [b"".join(found[start:end])[before:] for start, end in zip([0, *ends], ends, strict=False)]
+            return [self.whole(t) for t in (texts if isinstance(texts, list) else texts.to_pylist())]
+        data, offsets = _buffers(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
+        first = self.cuts.starts(data, offsets)
+        parts = _binary(data, np.append(first, len(data))).dictionary_encode()
+        self.batch += 1
+        places = self.places(parts.dictionary)[parts.indices.to_numpy()]
+        raw, ends = _buffers(self.ids.take(pa.array(places)))
+        at = ends[np.searchsorted(first, offsets)].tolist()
+        raw = raw.tobytes()
+        self.forget()
+        return [raw[start:end] for start, end in itertools.pairwise(at)]
+
+
+def _buffers(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a large column without nulls, and where each begins and the last one ends."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8), offsets - offsets[0]
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 _loaded: dict[str, Encoder] = {}
@@ -218,19 +242,16 @@ def load(config: str, width: int) -> Encoder:
     return _loaded[key]
 
 
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """doc_ids and texts of about BATCH_CHARS characters at a time."""
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """doc_ids and texts of about BATCH_BYTES at a time."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size >= BATCH_CHARS:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+        texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        ends = _buffers(texts)[1][1:]
+        start = 0
+        while start < len(texts):
+            end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + BATCH_BYTES)) + 1
+            yield batch.column(0)[start:end].to_pylist(), texts[start:end]
+            start = end
 
 
 def write(documents: DataFrame, path: str, tokenizer_path: str = TOKENIZER_PATH, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,13 @@ _CUT = re.compile("(?<=[^\\s\u180e]) (?=[^\\s\u180e])")
 _LINE = re.compile("(?<=[^\\s\u180e])\n(?=[^\\s\u180e])")
 
 
+# White space by its number of bytes in UTF-8, as numbers; which bytes are letters; the kinds of bytes that may begin a stretch.
+_WIDE = {n: [int.from_bytes(b) for c in range(0x3001) if (chr(c).isspace() or c == 0x180E) and len(b := chr(c).encode()) == n] for n in (1, 2, 3)}
+_WHITE = np.isin(np.arange(256), _WIDE[1])
+_LETTER = np.isin(np.arange(256), list(string.ascii_letters.encode()))
+_BETWEEN, _MARK = 1, 2
+
+
 # Members of tokenizer files that say that stretches are independent.
 _PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -41,6 +49,43 @@ def independent(config: str) -> bool:
     return plain and c["normalizer"] is None and c["post_processor"] is None and c["pre_tokenizer"] == _PRE_TOKENIZER and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
 
 
+class Cuts:
+    """Where a byte-level BPE's stretches begin, told from the bytes of many texts at once: at a single space or line end between two characters
+    other than white space, and at a mark after a Latin letter. What begins a stretch belongs to it. Characters of added tokens begin none."""
+
+    def __init__(self, config: str):
+        added = "".join(t["content"] for t in json.loads(config)["added_tokens"])
+        self.kind = np.zeros(256, np.uint8)
+        for kind, characters in ((_BETWEEN, " \n"), (_MARK, string.punctuation.replace("'", ""))):  # an apostrophe may begin a contraction
+            self.kind[[ord(c) for c in characters if c not in added]] = kind
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First bytes of the stretches of texts in UTF-8 that lie between offsets."""
+        first = np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        kinds = self.kind[data]
+        at = np.flatnonzero(kinds)
+        at = at[~first[at]]
+        mark = kinds[at] == _MARK
+        between, mark = at[~mark], at[mark]
+        between = between[~first[between + 1]]
+        before, after = data[between - 1], data[between + 1]
+        kept = ~(_WHITE[before] | _WHITE[after])
+        wide = np.flatnonzero(kept & ((before >= 0x80) | (after >= 0x80)))
+        for n in (2, 3):
+            kept[wide] &= ~(np.isin(_number(data, between[wide] - n, n), _WIDE[n]) | np.isin(_number(data, between[wide] + 1, n), _WIDE[n]))
+        last, lead = data[mark - 1], data[mark - 2]
+        latin = (last >= 0x80) & ((lead == 0xC3) & (last != 0x97) & (last != 0xB7) | (lead == 0xC4) | (lead == 0xC5))  # U+00C0 to U+017F but two signs
+        first[between[kept]] = True
+        first[mark[_LETTER[last] | latin]] = True
+        return np.flatnonzero(first[:-1])
+
+
+def _number(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """So many bytes from each place on as one number; beyond an end those of the other end, which complete no character."""
+    return sum(data.take(at + k, mode="wrap").astype(np.int64) << 8 * (n - 1 - k) for k in range(n))
+
+
 def unknown(stretches: Iterable[list[str]], known: dict) -> list[str]:
     """The distinct stretches that are not known yet."""
     return list(set(itertools.chain.from_iterable(stretches)).difference(known))
